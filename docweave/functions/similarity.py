@@ -1,0 +1,27 @@
+"""Matching-block similarity of two names."""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity_ratio(keys: pd.Series, canonicals: pd.Series) -> pd.Series:
+    """``2M / (len a + len b)``; argument order matters (source key, canonical)."""
+    matcher = SequenceMatcher()
+    second = None
+    scores = []
+    for a, b in zip(keys, canonicals):
+        if a is None or b is None:
+            scores.append(None)
+            continue
+        if b != second:
+            matcher.set_seq2(b)
+            second = b
+        matcher.set_seq1(a)
+        scores.append(matcher.ratio())
+    return pd.Series(scores, dtype="float64")
