@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.text import canonical_id, normalize_ascii
+from docweave.session import store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,22 +56,33 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def graph_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """documents, chunks, entities, mentions, relations, canonicals, resolutions.
 
-    Resolution is exact on the normalised name: every name has one canonical, the
+    The tables are written once per session, as the output of an ingest job would be;
+    queries then read only the columns they need.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = _ingest(spark, sf_dir)
+    return dict(_STORED[key])
+
+
+def _ingest(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Resolution is exact on the normalised name: every name has one canonical, the
     evidence is the first chunk of the entity.
     """
-    rows = lines(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders")
-    documents = orders.select(
+    rows = store(lines(spark, sf_dir), "lines")
+    documents = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("document_id"),
         F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("source_path"),
         F.lit("text").alias("doc_type"),
         F.col("o_orderpriority").alias("name"),
         F.col("o_orderstatus").alias("parse_status"),
     )
-    chunks = rows.select("chunk_id", "document_id", "pos")
     ends = rows.select(
         "document_id", "chunk_id", "pos",
         F.explode(
@@ -80,21 +92,25 @@ def graph_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             )
         ).alias("e"),
     ).select("document_id", "chunk_id", "pos", "e.*")
-    mentions = ends.select("chunk_id", "entity_id").distinct()
-    entities = ends.groupBy("entity_id", "document_id").agg(
-        F.min("name").alias("name"),
-        F.min("entity_type").alias("entity_type"),
-        F.count(F.lit(1)).cast("int").alias("mention_count"),
-        F.min_by("chunk_id", "pos").alias("first_chunk"),
-    )
-    entities = entities.withColumn("normalized_name", normalize_ascii("name"))
     mark = F.substring(F.md5("entity_id"), 1, 1)
-    entities = entities.withColumn(
-        "resolution_status", F.when(mark == "0", "review").when(mark == "1", "unresolved")
+    entities = store(
+        ends.groupBy("entity_id", "document_id")
+        .agg(
+            F.min("name").alias("name"),
+            F.min("entity_type").alias("entity_type"),
+            F.count(F.lit(1)).cast("int").alias("mention_count"),
+            F.min_by("chunk_id", "pos").alias("first_chunk"),
+        )
+        .withColumn("normalized_name", normalize_ascii("name"))
+        .withColumn("resolution_status", F.when(mark == "0", "review").when(mark == "1", "unresolved")),
+        "entities",
+    )
+    canonicals = (
+        entities.groupBy("normalized_name")
+        .agg(F.min("name").alias("canonical_name"), F.min("entity_type").alias("entity_type"))
+        .withColumn("canonical_id", canonical_id("normalized_name"))
+        .withColumn("resolution_version", F.lit("v1"))
     )
-    canonicals = entities.groupBy("normalized_name").agg(
-        F.min("name").alias("canonical_name"), F.min("entity_type").alias("entity_type")
-    ).withColumn("canonical_id", canonical_id("normalized_name")).withColumn("resolution_version", F.lit("v1"))
     resolutions = entities.where(F.col("resolution_status").isNull()).select(
         "entity_id",
         canonical_id("normalized_name").alias("canonical_id"),
@@ -103,14 +119,20 @@ def graph_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.lit("normalized canonical key matches").alias("reason"),
         F.col("document_id").alias("source_document_id"),
         # Some links carry evidence from nowhere, so that the evidence gates have work.
-        F.when(F.substring(F.md5("entity_id"), 1, 1) == "2", F.concat(F.lit("forged-"), "first_chunk"))
+        F.when(mark == "2", F.concat(F.lit("forged-"), "first_chunk"))
         .otherwise(F.col("first_chunk"))
         .alias("evidence_chunk_id"),
     )
     relations = rows.select(
         "source_id", "target_id", "type", "confidence", F.col("chunk_id").alias("evidence_chunk_id")
-    ).distinct()
+    )
     return {
-        "documents": documents, "chunks": chunks, "entities": entities.drop("first_chunk"),
-        "mentions": mentions, "relations": relations, "canonicals": canonicals, "resolutions": resolutions,
+        "lines": rows,
+        "documents": documents,
+        "chunks": rows.select("chunk_id", "document_id", "pos"),
+        "entities": entities.drop("first_chunk"),
+        "mentions": store(ends.select("chunk_id", "entity_id").distinct(), "mentions"),
+        "relations": store(relations.distinct(), "relations"),
+        "canonicals": store(canonicals, "canonicals"),
+        "resolutions": store(resolutions, "resolutions"),
     }
