@@ -8,9 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Anything larger than this is never collected or broadcast by the library.
-BROADCAST_ROW_BOUND = 4096
-
 
 def build_session(app_name: str = "docweave", cores: str | int = "*") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""

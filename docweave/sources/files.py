@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,7 @@ SKIPPED_FOLDERS = (".git", "node_modules", "__pycache__", ".venv")
 MAX_PAGES = 200
 
 
-def _doc_type(path):
+def doc_type_of(path):
     extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     mapping = F.create_map(*[F.lit(v) for pair in DOC_TYPES.items() for v in pair])
     return F.try_element_at(mapping, extension)
@@ -40,7 +40,7 @@ def scan_documents(
     listed = files.select(
         F.col("path").alias("source_path"),
         F.replace(path, base, F.lit("")).alias("document_id"),
-        _doc_type(path).alias("doc_type"),
+        doc_type_of(path).alias("doc_type"),
         "length",
         "content",
     )
@@ -69,8 +69,6 @@ def place_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> tuple[DataFrame
     """
     counts = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("page_count"))
     rejects = counts.where(F.col("page_count") > max_pages)
-    from pyspark.sql import Window
-
     kept = pages.join(rejects, "document_id", "left_anti")
     earlier = (
         Window.partitionBy("document_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
