@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.text import canonical_id, normalize_ascii
-from docweave.session import store
+from docweave.session import spread, store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,10 @@ def line_chunk_id() -> Column:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with the names of both ends; the wide join every table starts from."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_returnflag", "l_shipdate", "l_quantity"
+    li = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_returnflag", "l_shipdate", "l_quantity"
+        )
     )
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
     supp = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
@@ -136,3 +138,144 @@ def _ingest(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "canonicals": store(canonicals, "canonicals"),
         "resolutions": store(resolutions, "resolutions"),
     }
+
+
+def extraction_candidates(rows: DataFrame) -> DataFrame:
+    """Extraction output per line: two entities and one relation, some of them defective.
+
+    The quantity of a line decides its defect: blank name, unknown type, confidence out of
+    range, missing evidence, evidence of another chunk.
+    """
+    q = F.col("l_quantity")
+
+    def evidence(chunk):
+        return F.struct(
+            chunk.alias("chunk_id"), F.concat_ws(" ", "s_name", "p_name").alias("text"),
+            F.lit(None).cast("int").alias("char_start"), F.lit(None).cast("int").alias("char_end"),
+        )
+
+    own = evidence(F.col("chunk_id"))
+    shown = F.when(F.col("l_linenumber") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    supplier = F.struct(
+        F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("type"), F.lit("").alias("description"),
+        F.lit(0.5).alias("confidence"), own.alias("evidence"),
+    )
+    part = F.struct(
+        F.when(q == 13, "").otherwise(shown).alias("name"),
+        F.when(q == 17, "UNKNOWN").otherwise(F.col("p_type")).alias("type"),
+        F.lower("p_type").alias("description"),
+        F.when(q == 19, 1.5).otherwise(0.5).alias("confidence"),
+        F.when(q == 29, evidence(F.lit("elsewhere"))).when(q != 23, own).alias("evidence"),
+    )
+    relation = F.struct(
+        F.col("s_name").alias("source"), shown.alias("target"), F.col("type"), F.col("confidence"),
+        F.when(q != 31, own).alias("evidence"),
+    )
+    return rows.select(
+        "document_id", "chunk_id", "pos", "l_quantity",
+        F.array(supplier, part).alias("entities"), F.array(relation).alias("relations"),
+    )
+
+
+def raw_payloads(rows: DataFrame) -> DataFrame:
+    """The same output as model JSON, with some payloads damaged by the line quantity."""
+    q = F.col("l_quantity")
+    body = F.to_json(F.struct("entities", "relations"))
+    raw = (
+        F.when(q == 37, F.substring(body, 1, 20))
+        .when(q == 41, F.to_json(F.struct("entities")))
+        .when(q == 43, "[1]")
+        .when(q == 47, '{"entities":[{"name":1,"type":"T"}],"relations":[]}')
+        .otherwise(body)
+    )
+    return extraction_candidates(rows).select("document_id", "chunk_id", "pos", raw.alias("raw_json"))
+
+
+PART_TYPES = ("STANDARD", "ECONOMY", "MEDIUM", "PROMO", "LARGE", "SMALL", "SUPPLIER")
+LINE_RELATION_TYPES = ("A", "R")
+
+
+def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text corpus as plain documents."""
+    return spread(table(spark, sf_dir, "documents")).select(
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.lit("text").alias("doc_type"),
+        F.col("source").alias("name"),
+        F.col("text").alias("raw_text"),
+    )
+
+
+MARKDOWN_TAIL = "\n\n```json\n{\"turn\": 1}\n```\n\n- one\n- two\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"
+
+
+def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation message as a Markdown document with a heading, fence, list and table."""
+    return spread(table(spark, sf_dir, "conversations")).select(
+        F.concat_ws("-", "conv_id", "turn").alias("document_id"),
+        F.lit("markdown").alias("doc_type"),
+        F.col("role").alias("name"),
+        F.concat(F.lit("# "), "role", F.lit("\n\n"), "text", F.lit(MARKDOWN_TAIL)).alias("raw_text"),
+    )
+
+
+def message_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(conversations, messages)`` of the chat corpus; two turns form a run."""
+    rows = table(spark, sf_dir, "conversations")
+    conv = F.col("conv_id").cast("string")
+    messages = rows.select(
+        F.concat_ws("-", "conv_id", "turn").alias("message_id"),
+        conv.alias("conversation_id"),
+        F.concat_ws("-", "conv_id", F.floor(F.col("turn") / 2)).alias("run_id"),
+        F.col("turn").cast("int").alias("turn_index"),
+        F.when(F.col("role") == "assistant", "agent").otherwise(F.col("role")).alias("role"),
+        "text",
+        F.lit(None).cast("string").alias("citations"),
+        F.lit(None).cast("string").alias("confidence"),
+        (F.lit(1_700_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("created_at"),
+    )
+    conversations = rows.groupBy(conv.alias("conversation_id")).agg(
+        F.lit("新会话").alias("title"),
+        F.min(F.lit(1_700_000_000_000) + F.col("conv_id") * 1000).alias("created_at"),
+        F.lit(0).alias("message_count"),
+        F.lit(None).cast("int").alias("turn_counter"),
+    )
+    return conversations, messages
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User activity as run events: one run per user and day, errors fail, purchases succeed."""
+    rows = table(spark, sf_dir, "events")
+    return rows.select(
+        F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"),
+        "event_id",
+        F.col("event_type").alias("stage"),
+        F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "succeeded").otherwise("running").alias("status"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"),
+        F.col("value").alias("answer"),
+    )
+
+
+def customer_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers linked when they bought the same part, supplier and quantity.
+
+    All buyers of such a triple are linked to its first buyer, so links grow with the lines.
+    """
+    bought = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity").join(
+        table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey"
+    )
+    key = ["l_partkey", "l_suppkey", "l_quantity"]
+    first = bought.groupBy(*key).agg(F.min("o_custkey").alias("first_cust"))
+    links = bought.join(first, key).where("o_custkey <> first_cust").groupBy("first_cust", "o_custkey").agg(
+        F.count(F.lit(1)).alias("support_count")
+    )
+    nodes = table(spark, sf_dir, "customer").select(
+        F.format_string("c%08d", "c_custkey").alias("canonical_id"),
+        F.col("c_mktsegment").alias("canonical_name"),
+        F.lit(1).alias("source_entity_count"),
+    )
+    a, b = F.format_string("c%08d", "first_cust"), F.format_string("c%08d", "o_custkey")
+    edges = links.select(
+        a.alias("source_canonical_id"), b.alias("target_canonical_id"), F.lit("shares").alias("type"),
+        "support_count", F.concat_ws("-", a, b).alias("edge_id"),
+    )
+    return nodes, edges

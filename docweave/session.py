@@ -57,6 +57,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row work every core when the input came in fewer splits than cores.
+
+    Large inputs have enough splits and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def at_most(df: DataFrame, bound: int) -> bool:
     """True when ``df`` has no more than ``bound`` rows; stops after bound + 1."""
     return df.limit(bound + 1).count() <= bound
