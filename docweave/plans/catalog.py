@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docweave.plans import extraction_queries, graph_queries, text_queries
+from docweave.plans import extraction_queries, graph_queries, network_queries, text_queries
 
-_MODULES = (graph_queries, extraction_queries, text_queries)
+_MODULES = (graph_queries, extraction_queries, network_queries, text_queries)
 
 
 def all_queries():
