@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from docweave.plans import extraction_queries, graph_queries, network_queries, text_queries
+from docweave.plans import (
+    extraction_queries,
+    graph_queries,
+    network_queries,
+    resolution_queries,
+    retrieval_queries,
+    text_queries,
+)
 
-_MODULES = (graph_queries, extraction_queries, network_queries, text_queries)
+_MODULES = (
+    graph_queries,
+    extraction_queries,
+    network_queries,
+    resolution_queries,
+    retrieval_queries,
+    text_queries,
+)
 
 
 def all_queries():
