@@ -35,9 +35,16 @@ def is_ascii(column: Column | str) -> Column:
     return _col(column).rlike(_ASCII)
 
 
+# Every character that counts as blank.
+_BLANK_CHARS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def py_strip(column: Column | str) -> Column:
     """Trim every blank that Unicode knows, not only the space character."""
-    return F.regexp_replace(_col(column), f"^{_UNICODE_BLANKS}|{_UNICODE_BLANKS}$", "")
+    return F.btrim(_col(column), F.lit(_BLANK_CHARS))
 
 
 @F.pandas_udf(T.StringType())

@@ -21,7 +21,7 @@ def retrieve_paths(hits: DataFrame, tables: Mapping[str, DataFrame]) -> DataFram
     facts = P.eligible_relations(accepted, tables["relations"], live, min_confidence=None)
     usable = R.expandable_facts(facts, accepted, tables["canonicals"])
     seeds = R.expand_seed_canonicals(hits, accepted, live)
-    return R.aggregate_paths(R.expand_relations(seeds, usable))
+    return R.expand_relations(seeds, usable)
 
 
 def answer_questions(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from docweave.plans import (
+    conversation_queries,
     extraction_queries,
     graph_queries,
+    metric_queries,
     network_queries,
     resolution_queries,
     retrieval_queries,
@@ -18,6 +20,8 @@ _MODULES = (
     resolution_queries,
     retrieval_queries,
     text_queries,
+    conversation_queries,
+    metric_queries,
 )
 
 
