@@ -17,7 +17,7 @@ from docweave.session import cut
 def retrieve_paths(hits: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Relation paths that start at the canonicals mentioned by the hit chunks."""
     live = P.live_mentions(tables["mentions"], tables["chunks"], tables["documents"])
-    accepted = P.accepted_resolutions(tables["entities"], tables["resolutions"], live)
+    accepted = cut(P.accepted_resolutions(tables["entities"], tables["resolutions"], live))
     facts = P.eligible_relations(accepted, tables["relations"], live, min_confidence=None)
     usable = R.expandable_facts(facts, accepted, tables["canonicals"])
     seeds = R.expand_seed_canonicals(hits, accepted, live)

@@ -152,7 +152,7 @@ _EVENTS = """
 WITH ev AS (
   SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS run_id, event_id, event_type AS stage, value AS answer,
          CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'running' END AS status,
-         epoch_ms(ts) AS timestamp_ms FROM events
+         epoch_us(ts) // 1000 AS timestamp_ms FROM events
 ), s AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY timestamp_ms, event_id) AS INTEGER) AS seq FROM ev
 ), state AS (
