@@ -21,16 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def line_position() -> Column:
     """Order of a line inside its document: a 61-bit composite of the line columns."""
     return (
-        F.col("l_linenumber").cast("bigint") * F.lit(1 << 52)
-        + F.col("l_partkey") * F.lit(1 << 24)
-        + F.col("l_suppkey")
+        F.col("l_linenumber").cast("bigint") * F.lit(1 << 58)
+        + F.col("l_partkey") * F.lit(1 << 30)
+        + F.col("l_suppkey") * F.lit(1 << 6)
+        + F.col("l_quantity").cast("bigint")
     )
 
 
 def line_chunk_id() -> Column:
     return F.concat(
         F.col("l_orderkey").cast("string"), F.lit("#"),
-        F.concat_ws(".", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")),
+        F.concat_ws(".", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")),
     )
 
 

@@ -10,8 +10,8 @@ from docweave.plans.derived import graph_tables
 GRAPH_SQL = """
 WITH lines AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS document_id,
-         l_orderkey || '#' || l_linenumber || '.' || l_partkey || '.' || l_suppkey AS chunk_id,
-         CAST(l_linenumber AS BIGINT) * 4503599627370496 + l_partkey * 16777216 + l_suppkey AS pos,
+         l_orderkey || '#' || l_linenumber || '.' || l_partkey || '.' || l_suppkey || '.' || CAST(l_quantity AS INTEGER) AS chunk_id,
+         CAST(l_linenumber AS BIGINT) * 288230376151711744 + l_partkey * 1073741824 + l_suppkey * 64 + CAST(l_quantity AS BIGINT) AS pos,
          l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate,
          l_orderkey || '::' || lower(s_name) AS source_id,
          l_orderkey || '::' || lower(p_name) AS target_id,

@@ -44,19 +44,16 @@ def review_candidates(spark, sf_dir):
 
 
 def fixture_problems(spark, sf_dir):
-    """Samples whose declared population, half of their texts, is below the accepted count."""
+    """Every text as a fixture with one candidate; only English texts declare a population."""
     c = _reviewed(spark, sf_dir)
-    item = F.struct("entity_id", "accepted")
-    nested = c.groupBy("sample_id").agg(
-        # Test fixtures are nested by nature; one sample here is one source of the corpus.
-        F.collect_list(item).alias("candidate_entities"),
-        F.floor(F.count(F.lit(1)) / 2).cast("int").alias("half"),
-    )
     relation = "array<struct<relation_id:string,source_entity_id:string,target_entity_id:string,accepted:boolean>>"
-    fixtures = nested.select(
-        "sample_id", "candidate_entities", F.array().cast(relation).alias("candidate_relations"),
+    fixtures = c.select(
+        F.col("entity_id").alias("sample_id"),
+        F.array(F.struct("entity_id", "accepted")).alias("candidate_entities"),
+        F.array().cast(relation).alias("candidate_relations"),
         F.struct(
-            F.col("half").alias("accepted_entity_population"), F.lit(0).alias("accepted_relation_population")
+            F.col("matched_gold").cast("int").alias("accepted_entity_population"),
+            F.lit(0).alias("accepted_relation_population"),
         ).alias("review_scope"),
     )
     return Q.check_fixtures(fixtures)
@@ -153,8 +150,8 @@ QUERIES = {
     "fixture_problems": (
         fixture_problems,
         _REVIEWED
-        + """SELECT sample_id, 'declared entity population is too small' AS problem, CAST(count(*) FILTER (accepted) AS VARCHAR) AS item
-        FROM c GROUP BY sample_id HAVING floor(count(*) / 2) < count(*) FILTER (accepted)""",
+        + """SELECT entity_id AS sample_id, 'declared entity population is too small' AS problem, '1' AS item
+        FROM c WHERE accepted AND NOT matched""",
     ),
     "keyword_recall": (keyword_recall, _WORDS + "SELECT * FROM per"),
     "recall_summary": (
