@@ -28,13 +28,19 @@ def build_session(app_name: str = "docweave", cores: str | int = "*") -> SparkSe
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only local runs get their own."""
+    """Use the cluster's ``spark.checkpoint.dir``; only local runs get their own.
+
+    A folder of one machine is no place for what executors share, so a cluster without
+    the setting is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not shared and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
