@@ -236,7 +236,7 @@ class Renderer:
             while len(self.stack) > last:
                 self.pop()
 
-    def start(self, tag: str, raw: str, closed: bool) -> Element | None:
+    def start(self, tag: str, raw: str) -> Element | None:
         if tag == "html":
             return None
         if tag == "image":
@@ -253,7 +253,7 @@ class Renderer:
             if self.top.table is None:
                 return None  # no table around it
             if tag in _CELL and self.top.tag != "tr":
-                self.start("tr", "", False)
+                self.start("tr", "")
         names = _attributes(raw) if raw and not raw.isspace() else {}
         e = Element(tag, self.top)
         hides = tag in UNSEEN or "hidden" in names or bool("style" in names and _HIDING.search(names["style"])) or tag == "dialog" and "open" not in names
@@ -335,8 +335,6 @@ class Renderer:
             return
         if top.tag in ("tr", "thead", "tbody", "tfoot"):
             box = next((x.box for x in reversed(self.stack) if x.tag == "table"), box)
-        if top.pre and not box.line and not box.lines and text.startswith("\n"):
-            text = text[1:]
         box.text(text.replace("\0", ""), top.pre)
 
     def finish(self) -> str:
@@ -369,7 +367,9 @@ def render(source: str | None) -> tuple[str, dict[str, int]]:
         if m[1]:
             r.end(tag)
             continue
-        e = r.start(tag, m[3], m[3].endswith("/"))
+        e = r.start(tag, m[3])
+        if tag in ("pre", "listing", "textarea"):  # a line break right after them is dropped
+            at += 2 * source.startswith("\r\n", at) or source.startswith("\n", at)
         if e is not None and tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
             if tag == "textarea":

@@ -179,7 +179,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, base: int = BASE, carr
                         if w["at"] < len(h) and h[w["at"]] == w["h"]:
                             stay[w["at"] : w["at"] + length] = False
                     joined = b" ".join([w for w, s in zip(words, stay, strict=True) if s])
-                    done, sha, kept = int((~stay).sum()), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace") if spaced or done else text
+                    done, sha = int((~stay).sum()), hashlib.sha256(joined).hexdigest()
+                    kept = joined.decode("utf-8", "replace") if spaced or done else text
                 out.append((n, done, sha, kept))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds[1:5], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[7:]], ["id", *names[1:5], *passed])
