@@ -27,8 +27,8 @@ LEVELS = 3
 #: Sketch bytes; sketches match from ``LOOSE`` on, and ``SURE`` stands for the leader's role.
 SKETCH, LOOSE, SURE = 128, 0.55, 0.85
 #: Rows of a bucket that is compared at once, and shingles of a block of a family.
-SMALL, BLOCK, BLOCK_ROWS = 8192, 1_000_000, 2048
-_STEPS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
+SMALL, BLOCK, BLOCK_ROWS = 8192, 1_000_000, 512
+_STEPS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -51,18 +51,19 @@ def paths(tokens: np.ndarray, similarity: float, runs: int, levels: int = LEVELS
     nodes = mix(np.arange(1, runs + 1, dtype=np.uint64))
     limit = np.uint64(min(2**64 - 1, int(2**64 / (similarity * len(tokens)))))
     for _ in range(levels):
-        drawn = mix(nodes[:, None] ^ tokens[None, :])
+        # Multiplying hashed tokens by odd numbers is a hash itself, and the cheapest one.
+        drawn = (nodes | np.uint64(1))[:, None] * tokens[None, :]
         at, which = np.nonzero(drawn <= limit)
-        nodes = mix(drawn[at, which] + nodes[at])
+        nodes = mix(tokens[which] + nodes[at])
     return nodes
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """The lowest byte of each of ``SKETCH`` minima of hashed tokens."""
+    """A byte of each of ``SKETCH`` minima of hashed tokens."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(tokens), 2048):
-        least = np.minimum(least, mix(tokens[None, start : start + 2048] * np.uint64(0x9E3779B97F4A7C15) ^ _STEPS[:, None]).min(1))
-    return (least >> np.uint64(8)).astype(np.uint8)
+        least = np.minimum(least, (tokens[None, start : start + 2048] * _STEPS[:, None]).min(1))
+    return mix(least).astype(np.uint8)
 
 
 def fingerprints(docs: DataFrame, similarity: float, runs: int) -> DataFrame:
