@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import id_back, id_key, map_groups, mix, slices, split_words, window_hashes, word_hashes
+from docweave.llm.common import batch_hashes, id_back, id_key, map_groups, mix, slices, window_hashes
 from docweave.operators.graph import component_labels
 from docweave.session import store
 
@@ -31,10 +31,12 @@ SMALL, BLOCK, BLOCK_ROWS = 8192, 1_000_000, 512
 _STEPS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes; a text of fewer words is one shingle, one without has none."""
-    hashes = word_hashes(split_words(text))
-    return np.unique(window_hashes(hashes, min(words, len(hashes)))) if len(hashes) else hashes
+def shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text; one of fewer words is one shingle, one without
+    words has none."""
+    hashes, at = batch_hashes(texts)
+    parts = [hashes[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+    return [np.unique(window_hashes(h, min(words, len(h)))) if len(h) else h for h in parts]
 
 
 def runs_for(recall: float, levels: int = LEVELS) -> int:
@@ -72,8 +74,7 @@ def fingerprints(docs: DataFrame, similarity: float, runs: int) -> DataFrame:
     def run(batches):
         for batch in slices(batches, 500):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text)
+            for doc, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1).to_pylist()), strict=True):
                 if len(s):
                     sign = np.array([len(s), mix(s).sum(), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], np.uint64).tobytes()
                     rows.append((doc, len(s), sign, sketch(s).tobytes(), paths(s, similarity, runs).view(np.int64)))
@@ -221,8 +222,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     texts = chosen.join(members, "id").dropDuplicates(["id"])
 
     def tokens(batches):
-        for batch in slices(batches):
-            sets = pa.array([shingles(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())
+        for batch in slices(batches, 500):
+            sets = pa.array([s.tobytes() for s in shingles(batch.column(0).to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], sets], ["id", "family", "block", "blocks", "copies", "tokens"])
 
     sets = texts.select("text", "id", "family", "block", "blocks", "copies").mapInArrow(tokens, "id bigint, family bigint, block bigint, blocks bigint, copies bigint, tokens binary")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,14 +53,53 @@ def worker_cache(name: str) -> dict:
     return caches.setdefault(name, {})
 
 
-def word_hashes(words: list[bytes], limit: int = 200_000) -> np.ndarray:
-    """64-bit hashes of words; the memo is emptied beyond ``limit`` words."""
-    memo = worker_cache("words")
-    if len(memo) > limit:
-        memo.clear()
-    for word in set(words).difference(memo):
-        memo[word] = xxhash.xxh3_64_intdigest(word)
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+_SPACES = np.zeros(256, bool)
+_SPACES[[32, *range(9, 14)]] = True
+_BASE, _CHUNK = 0x9E3779B97F4A7C15, 1 << 20
+_AFTER = re.compile(rb"[\x20\x09-\x0D]|\Z")
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, and a random number for each byte."""
+    held = worker_cache("powers")
+    if len(held.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            held[name] = np.multiply.accumulate(steps)
+        held["byte"] = mix(np.arange(1, 257, dtype=np.uint64))
+    return held["up"], held["down"], held["byte"]
+
+
+def batch_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts, offsets of each text's words).
+
+    A word's polynomial over its bytes comes from running sums, so no word becomes a Python
+    object. Long inputs go through in stretches that end between words.
+    """
+    data = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    bounds = np.cumsum([0] + [len(d) + 1 for d in data])
+    joined = b"\n".join(data)
+    hashes, begins, at = [], [], 0
+    while at < len(joined):
+        end = _AFTER.search(joined, min(at + _CHUNK, len(joined))).start()
+        part = np.frombuffer(joined, np.uint8, end - at, at)
+        up, down, byte = _powers(max(len(part), _CHUNK))
+        edge = np.diff(np.concatenate([[True], _SPACES[part], [True]]).astype(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte[part] * up[: len(part)])])
+        hashes.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+        begins.append(first + at)
+        at = end + 1
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), bounds)
+
+
+def flat_lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(values of all lists, offsets); a null list is empty."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten(), np.concatenate([[0], np.cumsum(lengths)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -53,7 +53,7 @@ def op7_chosen_path_join(spark, sf_dir):
 
 
 def op8_doubling_dedup(spark, sf_dir):
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_layout_render(spark, sf_dir):
