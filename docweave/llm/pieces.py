@@ -12,6 +12,7 @@ the closest second choice can differ from the best segmentation.
 
 from __future__ import annotations
 
+import array
 import heapq
 import math
 import re
@@ -29,14 +30,14 @@ SPACE = "▁"
 UNIT = 1_000_000
 #: Below the worst piece by so much is a character that has no piece.
 UNKNOWN_PENALTY = 10 * UNIT
-MEMO = 400_000
+MEMO = 800_000
 _NEVER = -(1 << 62)
 
 
 @dataclass
 class Vocabulary:
     """Pieces with integer scores, none above 0. ``surface`` has the text of each id, bytes
-    for bytes; ``prefixes`` has all beginnings of pieces, with the score of whole ones."""
+    for bytes; ``suffixes`` has all ends of pieces, with the score of whole ones."""
 
     ids: dict[str, int]
     scores: dict[str, int]
@@ -46,7 +47,7 @@ class Vocabulary:
     longest: int = 1
     unknown_score: int = 0
     spanning: tuple[str, ...] = ()
-    prefixes: dict[str, int | None] = field(default_factory=dict)
+    suffixes: dict[str, int | None] = field(default_factory=dict)
     name: str = ""
     fine: re.Pattern = field(default=re.compile(f"{SPACE}*(?:[^\\W_]+|(?:[^\\w{SPACE}]|_)+)|{SPACE}+"))
     coarse: re.Pattern = field(default=re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+"))
@@ -54,8 +55,8 @@ class Vocabulary:
     def __post_init__(self):
         self.longest = max(map(len, self.ids), default=1)
         self.unknown_score = min(self.scores.values(), default=0) - UNKNOWN_PENALTY
-        self.prefixes = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.scores
-        self.score_of_id = np.ones(len(self.surface), np.int64)  # 1: no score of its own
+        self.suffixes = {p[k:]: None for p in self.ids for k in range(1, len(p))} | self.scores
+        self.score_of_id = np.zeros(len(self.surface), np.int64)
         for piece, i in self.ids.items():
             self.score_of_id[i] = self.scores[piece]
         spans = set()
@@ -124,34 +125,54 @@ def _ids(pieces: list[str], v: Vocabulary) -> tuple[int, ...]:
     return tuple(out)
 
 
-def viterbi(unit: str, v: Vocabulary) -> tuple[int, tuple[int, ...], int]:
-    """(score, ids, loss of the second best, huge if there is none). The second best leaves the best path
-    at one node over its second-best arc, so one forward pass gives its loss."""
-    n, get = len(unit), v.prefixes.get
-    best, second, back = [0] + [_NEVER] * n, [_NEVER] * (n + 1), [0] * (n + 1)
-    for i in range(n):
-        here = best[i]
-        for j in range(i + 1, n + 1):
-            s = get(unit[i:j], 1)
-            if s is None or j == i + 1 and s == 1:
-                if j > i + 1 or unit[i] in v.scores:
-                    continue
-                s = v.unknown_score
-            elif s == 1:
+def viterbi(units: set[str], v: Vocabulary, memo: dict[str, dict]) -> None:
+    """Remember the best ids of each unit, and the loss of its second best.
+
+    Units go in order, so that the forward scores of a common beginning are kept from one to
+    the next. The second best leaves the best path at one node over its second-best arc, so
+    the forward pass gives its loss as well.
+    """
+    get, ids_of, loss_of, unknown = v.suffixes.get, memo["ids"], memo["loss"], memo["unknown"]
+    best, second, back, last = [0], [_NEVER], [0], ""
+    for unit in sorted(units):
+        n, k = len(unit), 0
+        for a, b in zip(unit, last, strict=False):
+            if a != b:
                 break
-            total = here + s
-            if total > best[j]:
-                second[j], best[j], back[j] = best[j], total, i
-            elif total > second[j]:
-                second[j] = total
-    pieces, j, loss = [], n, -_NEVER
-    while j:
-        if second[j] > _NEVER and best[j] - second[j] < loss:
-            loss = best[j] - second[j]
-        i = back[j]
-        pieces.append(unit[i:j])
-        j = i
-    return best[n], _ids(pieces[::-1], v), loss
+            k += 1
+        del best[k + 1 :], second[k + 1 :], back[k + 1 :]
+        for j in range(k + 1, n + 1):
+            top = low = _NEVER
+            at = 0
+            for i in range(j - 1, -1, -1):
+                s = get(unit[i:j], 1)
+                if s is None or s == 1:  # the end of a piece only, or of none
+                    if i == j - 1 and unit[i] not in v.scores:
+                        top, at = best[i] + v.unknown_score, i
+                    if s == 1:
+                        break
+                    continue
+                total = best[i] + s
+                if total >= top:
+                    low, top, at = top, total, i
+                elif total > low:
+                    low = total
+            best.append(top)
+            second.append(low)
+            back.append(at)
+        pieces, j, loss = [], n, -_NEVER
+        while j:
+            if second[j] > _NEVER and best[j] - second[j] < loss:
+                loss = best[j] - second[j]
+            i = back[j]
+            pieces.append(unit[i:j])
+            j = i
+        pieces.reverse()
+        ids_of[unit] = array.array("i", _ids(pieces, v)).tobytes()
+        loss_of[unit] = loss
+        if missing := sum(p not in v.ids for p in pieces):
+            unknown[unit] = missing * v.unknown_score
+        last = unit
 
 
 def n_best(unit: str, v: Vocabulary, n: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -176,9 +197,9 @@ def n_best(unit: str, v: Vocabulary, n: int) -> list[tuple[int, tuple[int, ...]]
     return found
 
 
-def _best_first(found: list, score: int, ids: bytes) -> list[tuple[int, tuple[int, ...]]]:
+def _best_first(found: list, ids: bytes) -> list[tuple[int, tuple[int, ...]]]:
     """The same list led by the segmentation that Viterbi chose among equal ones."""
-    first = (score, tuple(np.frombuffer(ids, np.int32).tolist()))
+    first = (found[0][0], tuple(np.frombuffer(ids, np.int32).tolist()))
     return [first, *[f for f in found if f != first]][: len(found)]
 
 
@@ -191,25 +212,38 @@ def _combine(choices: list[tuple[int, list[int]]], n: int) -> list[tuple[int, tu
     return sums
 
 
-def encode_text(text: str, v: Vocabulary, n: int) -> tuple[int, np.ndarray, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
+def _memory(v: Vocabulary, n: int) -> dict[str, dict]:
+    memo = worker_cache(f"pieces:{v.name}:{n}")
+    if not memo or len(memo["ids"]) > MEMO:
+        memo.update(ids={}, unknown={}, loss={}, listed={})
+    return memo
+
+
+def encode_batch(texts: list[str | None], v: Vocabulary, n: int) -> list[tuple[int, np.ndarray, list]]:
+    """``encode_units`` of each text; new units of all texts are searched together."""
+    memo = _memory(v, n)
+    units = [v.units(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+    distinct = list(map(set, units))
+    viterbi(set().union(*distinct).difference(memo["ids"]), v, memo)
+    return [encode_units(u, d, v, n, memo) for u, d in zip(units, distinct, strict=True)]
+
+
+def encode_text(text: str | None, v: Vocabulary, n: int) -> tuple[int, np.ndarray, list]:
+    return encode_batch([text], v, n)[0]
+
+
+def encode_units(units: list[str], distinct: set[str], v: Vocabulary, n: int, memo: dict[str, dict]) -> tuple[int, np.ndarray, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
     """(score, ids, alternatives) of a text.
 
     Alternatives are the next n - 1 segmentations: (score, changes), a change being (position
     in the best ids, ids replaced there, ids put instead).
     """
-    units = v.units(SPACE + text.replace(" ", SPACE)) if text else []
-    memo = worker_cache(f"pieces:{v.name}:{n}")
-    if not memo or len(memo["ids"]) > MEMO:
-        memo.update(ids={}, score={}, loss={}, listed={})
-    ids_of, score_of, loss_of, listed = memo["ids"], memo["score"], memo["loss"], memo["listed"]
-    distinct = set(units)
-    for unit in distinct.difference(ids_of):
-        score_of[unit], ids, loss_of[unit] = viterbi(unit, v)
-        ids_of[unit] = np.asarray(ids, np.int32).tobytes()
+    ids_of, unknown, loss_of, listed = memo["ids"], memo["unknown"], memo["loss"], memo["listed"]
     found = list(map(ids_of.__getitem__, units))
     best = np.frombuffer(b"".join(found), np.int32)
-    by_id = v.score_of_id[best]
-    score = sum(map(score_of.__getitem__, units)) if by_id.max(initial=0) > 0 else int(by_id.sum())
+    score = int(v.score_of_id[best].sum())
+    if not unknown.keys().isdisjoint(distinct):
+        score += sum(unknown.get(u, 0) for u in units)
     if n < 2 or not units:
         return score, best, []
     losses = list(map(loss_of.__getitem__, distinct))
@@ -228,7 +262,7 @@ def encode_text(text: str, v: Vocabulary, n: int) -> tuple[int, np.ndarray, list
     places = sorted(places)[: n - 1]
     for _, _, u in places:
         if u not in listed:
-            listed[u] = _best_first(n_best(u, v, n), score_of[u], ids_of[u])
+            listed[u] = _best_first(n_best(u, v, n), ids_of[u])
     choices = [(k, [listed[u][0][0] - s for s, _ in listed[u]]) for _, k, u in places]
     at = {k: len(b"".join(found[:k])) // 4 for _, k, _ in places}
     out = []
@@ -272,8 +306,7 @@ def encode_n_best(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
         v = vocabulary.value
         for batch in slices(batches, 256):
             ids, lengths, scores, decoded, more = [], [0], [], [], []
-            for text in batch.column(1).to_pylist():
-                score, best, alternatives = encode_text(text or "", v, n)
+            for score, best, alternatives in encode_batch(batch.column(1).to_pylist(), v, n):
                 ids.append(best)
                 lengths.append(len(best))
                 scores.append(score / UNIT)
