@@ -285,7 +285,7 @@ QUERIES = {
         source_edges_within,
         GRAPH_SQL + _DEGREE_SQL
         + """, top AS (SELECT entity_id FROM sized ORDER BY degree DESC, name, entity_id LIMIT 5000)
-        SELECT source_id, target_id, type, confidence FROM (SELECT * FROM relations ORDER BY source_id, target_id, type, evidence_chunk_id LIMIT 10000)
+        SELECT source_id, target_id, type, confidence FROM relations
         WHERE source_id IN (SELECT entity_id FROM top) AND target_id IN (SELECT entity_id FROM top)""",
     ),
     "source_degrees": (source_degrees, GRAPH_SQL + _DEGREE_SQL + "SELECT degree, count(*) AS entities FROM sized GROUP BY degree"),

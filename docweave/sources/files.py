@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.functions.text import py_strip
+
 # Accepted extensions, skipped folders, limits.
 DOC_TYPES = {"txt": "text", "md": "markdown", "markdown": "markdown", "pdf": "pdf"}
 SKIPPED_FOLDERS = (".git", "node_modules", "__pycache__", ".venv")
@@ -75,7 +77,7 @@ def place_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> tuple[DataFrame
     )
     placed = kept.withColumn(
         "page_start", F.coalesce(F.sum(F.length("text") + 1).over(earlier), F.lit(0)).cast("int")
-    ).withColumn("blank", F.length(F.regexp_replace("text", r"\s", "")) == 0)
+    ).withColumn("blank", F.length(py_strip("text")) == 0)
     return placed, rejects
 
 

@@ -245,3 +245,10 @@ def test_snapshot_prefers_the_centre(spark):
     kept, shown, totals = P.bounded_snapshot(nodes, edges, 1, 5, preferred="B")
     assert [r.canonical_id for r in kept.collect()] == ["B"] and shown.count() == 0
     assert totals.first().total_node_count == 2 and totals.first().node_truncated
+
+
+def test_components_of_a_long_chain(spark):
+    n = 2000
+    nodes = spark.range(n)
+    edges = spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b")
+    assert G.component_labels(nodes, edges).select("component").distinct().count() == 1
