@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from docweave.llm import classifier, pieces
-from tests.llm.test_wide import brute_links, brute_repeats
+from llm.test_wide import brute_links, brute_repeats
 
 SF = "/root/testdata/sf0.001"
 

@@ -219,7 +219,7 @@ def test_repeats_equal_brute_force(docs_of, length):
         rows.append((i, random.choice([" ", "\n", "  "]).join(words)))
     rows += [(200, rows[3][1]), (201, rows[3][1]), (202, "z " * 100), (203, None)]
     df = docs_of([(i, t, "en", "s") for i, t in rows])
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(df, length).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(df, length, 5).collect()}
     assert got == brute_repeats(rows, length)
 
 
