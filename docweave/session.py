@@ -44,16 +44,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+#: Shuffle files of a job go when it ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
-    Unlike a checkpoint the stored table keeps column pruning and filter pushdown.
+    Unlike a checkpoint the stored table keeps column pruning and filter pushdown. The
+    table stands for the lineage, so the shuffle files of the writing job are removed.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext.getCheckpointDir().rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.parquet(path)
 
 
