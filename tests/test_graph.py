@@ -1,6 +1,8 @@
 """Graph operators against brute force on random graphs."""
 
+import hashlib
 import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,53 +119,54 @@ def test_local_subgraph_with_type(spark, depth):
     assert nodes.count() == 2 and summary.first().truncated
 
 
-def modularity_model(edges, sweeps=20):
-    """The rule restated over plain dictionaries, all nodes at once."""
-    w = {}
+def community_model(edges):
+    """The rounds restated over plain dictionaries."""
+    w = defaultdict(Counter)
     for a, b, _, s, _i in edges:
-        w.setdefault(a, {})
-        w.setdefault(b, {})
-        w[a][b] = w[a].get(b, 0) + s
-        w[b][a] = w[b].get(a, 0) + s
-    k = {n: sum(w[n].values()) for n in w}
-    total = sum(k.values())
-    where = {n: n for n in w}
-    for _ in range(sweeps):
-        moved = False
-        for n in sorted(w):
-            options = sorted({where[n]} | {where[m] for m in w[n]})
-            load = {o: sum(k[m] for m in w if where[m] == o and m != n) for o in options}
-            gain = {o: sum(x for m, x in w[n].items() if where[m] == o) - load[o] * k[n] / total for o in options}
-            best = where[n]
-            for o in options:
-                if gain[o] > gain[best] + 1e-12 or (abs(gain[o] - gain[best]) <= 1e-12 and o < best):
-                    best = o
-            moved |= best != where[n]
-            where[n] = best
-        if not moved:
-            break
-    return where
-
-
-def test_communities_match_the_sequential_rule():
-    for seed in range(40):
-        edges = random_edges(14, 22, seed)
-        found = G.move_locally([(min(a, b), max(a, b), float(s)) for a, b, _, s, _i in edges])
-        assert {n: label for n, (label, _) in found.items()} == modularity_model(edges)
+        if a != b:
+            w[a][b] += s
+            w[b][a] += s
+    own = {n: sum(w[n].values()) for n in w}
+    label = {n: n for n in w}
+    for turn in range(G.ROUNDS):
+        load = Counter()
+        for n in w:
+            load[label[n]] += own[n]
+        chosen = {}
+        for n in w:
+            pull = Counter({label[n]: 0})
+            for m, x in w[n].items():
+                pull[label[m]] += x
+            score = {o: x * sum(own.values()) - (load[o] - (own[n] if o == label[n] else 0)) * own[n] for o, x in pull.items()}
+            chosen[n] = min(score, key=lambda o: (-score[o], o))
+        label = {n: chosen[n] if hashlib.md5(f"{n}:{turn}".encode()).hexdigest() < "8" else label[n] for n in w}
+    return label
+
+
+def test_communities_match_the_rounds(spark):
+    edges = [e for part in range(4) for e in [(f"{part}{a}", f"{part}{b}", t, s, f"{part}{i}") for a, b, t, s, i in random_edges(14, 22, part)]]
+    names = sorted({n for e in edges for n in e[:2]})
+    nodes = spark.createDataFrame([(n, n, 1) for n in names], "canonical_id string, canonical_name string, source_entity_count int")
+    members, _ = G.topic_communities(nodes, spark.createDataFrame(edges, EDGES), 20)
+    assert {r.canonical_id: r.label for r in members.collect()} == community_model(edges)
+
+
+def test_communities_of_no_edges(spark):
+    nodes = spark.createDataFrame([("a", "A", 1)], "canonical_id string, canonical_name string, source_entity_count int")
+    members, summary = G.topic_communities(nodes, spark.createDataFrame([], EDGES), 20)
+    assert members.count() == 0 and summary.count() == 0
 
 
 def test_bridge_graph_has_two_communities(spark):
     pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]
     edges = spark.createDataFrame([(a, b, "t", 1 if (a, b) == ("c", "x") else 3, a + b) for a, b in pairs], EDGES)
     nodes = spark.createDataFrame([(c, c, 1) for c in "abcxyzq"], "canonical_id string, canonical_name string, source_entity_count int")
-    members, summary = G.topic_communities(nodes, edges)
+    members, summary = G.topic_communities(nodes, edges, 20)
     rows = summary.collect()
     assert [(r.node_count, r.edge_count, r.total_support, r.representative_id) for r in rows] in (
         [(3, 3, 9, "c"), (3, 3, 9, "x")], [(3, 3, 9, "x"), (3, 3, 9, "c")],
     )
     assert members.where("canonical_id = 'q'").count() == 0
-    with pytest.raises(ValueError, match="bounded"):
-        G.topic_communities(spark.range(G.SNAPSHOT_NODES + 1).select(F.col("id").cast("string").alias("canonical_id")), edges)
 
 
 def test_self_edges_and_isolated(spark):
