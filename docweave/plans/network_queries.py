@@ -328,9 +328,11 @@ QUERIES = {
     "edges_filtered": (
         edges_filtered,
         GRAPH_SQL
-        + """SELECT source_id, target_id, r.type, confidence, CASE WHEN confidence >= 0.8 THEN 'high' ELSE 'medium' END AS class
-        FROM relations r JOIN entities s ON s.entity_id = source_id JOIN entities t ON t.entity_id = target_id
-        WHERE coalesce(confidence, 0) >= 0.7 AND (r.type = 'LARGE' OR s.entity_type = 'LARGE' OR t.entity_type = 'LARGE')""",
+        + """, kinds AS MATERIALIZED (SELECT entity_id, entity_type FROM entities),
+        strong AS MATERIALIZED (SELECT source_id, target_id, type, confidence FROM relations WHERE coalesce(confidence, 0) >= 0.7)
+        SELECT source_id, target_id, r.type, confidence, CASE WHEN confidence >= 0.8 THEN 'high' ELSE 'medium' END AS class
+        FROM strong r JOIN kinds s ON s.entity_id = source_id JOIN kinds t ON t.entity_id = target_id
+        WHERE r.type = 'LARGE' OR s.entity_type = 'LARGE' OR t.entity_type = 'LARGE'""",
     ),
     "neighbors": (
         neighbors,

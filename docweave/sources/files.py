@@ -8,10 +8,11 @@ from pyspark.sql import types as T
 
 from docweave.functions.text import py_strip
 
-# Accepted extensions, skipped folders, limits.
+# Accepted extensions, skipped folders.
 DOC_TYPES = {"txt": "text", "md": "markdown", "markdown": "markdown", "pdf": "pdf"}
 SKIPPED_FOLDERS = (".git", "node_modules", "__pycache__", ".venv")
-MAX_PAGES = 200
+#: Page numbers that share a window partition.
+PAGE_BUCKET = 512
 
 
 def doc_type_of(path):
@@ -63,25 +64,33 @@ def scan_documents(
     return documents, rejects
 
 
-def place_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> tuple[DataFrame, DataFrame]:
+def place_pages(pages: DataFrame, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``pages(document_id, page, text)`` with start offsets, and rejected documents.
 
-    Documents above the page limit leave before the window, so no window partition
-    ever holds more than ``max_pages`` rows.
+    Only a caller's ``max_pages`` rejects documents. Offsets are running sums within buckets
+    of ``PAGE_BUCKET`` page numbers, moved by the sums of earlier buckets, so the pages of a
+    long document are spread over many window partitions.
     """
     counts = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("page_count"))
-    rejects = counts.where(F.col("page_count") > max_pages)
-    kept = pages.join(rejects, "document_id", "left_anti")
-    earlier = (
-        Window.partitionBy("document_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    rejects = counts.where(F.lit(False) if max_pages is None else F.col("page_count") > max_pages)
+    kept = pages if max_pages is None else pages.join(rejects, "document_id", "left_anti")
+    kept = kept.withColumn("_bucket", F.floor(F.col("page") / PAGE_BUCKET))
+    size = F.length("text") + 1  # a missing text takes no part in the joined text either
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = kept.groupBy("document_id", "_bucket").agg(F.sum(size).alias("_size"))
+    moved = F.sum("_size").over(before.partitionBy("document_id").orderBy("_bucket"))
+    shifts = sums.select("document_id", "_bucket", F.coalesce(moved, F.lit(0)).alias("_shift"))
+    inner = F.sum(size).over(before.partitionBy("document_id", "_bucket").orderBy("page"))
+    placed = (
+        kept.withColumn("_inner", F.coalesce(inner, F.lit(0)))
+        .join(shifts, ["document_id", "_bucket"])
+        .withColumn("page_start", (F.col("_inner") + F.col("_shift")).cast("int"))
+        .withColumn("blank", F.length(py_strip("text")) == 0)
     )
-    placed = kept.withColumn(
-        "page_start", F.coalesce(F.sum(F.length("text") + 1).over(earlier), F.lit(0)).cast("int")
-    ).withColumn("blank", F.length(py_strip("text")) == 0)
-    return placed, rejects
+    return placed.select(*pages.columns, "page_start", "blank"), rejects
 
 
-def assemble_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def assemble_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """One document per page set, page texts joined by one newline."""
     placed, _ = place_pages(pages, max_pages)
     texts = F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"])

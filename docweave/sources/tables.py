@@ -15,10 +15,20 @@ from docweave.functions.text import location_string
 from docweave.operators.ordering import stack_counters
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Idempotent keyed merge: incoming rows replace rows with the same key."""
+def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the last by ``order``; equal ones are told apart by their content."""
+    content = F.xxhash64(*[F.col(c) for c in rows.columns])
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order, content.alias("_content")))
+    return rows.groupBy(*keys).agg(last.alias("_row")).select("_row.*")
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Idempotent keyed merge: incoming rows replace rows with the same key.
+
+    Of incoming rows with equal keys the last by ``order`` stays.
+    """
     kept = existing.join(incoming.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(incoming, allowMissingColumns=True)
+    return kept.unionByName(latest(incoming, keys, order), allowMissingColumns=True)
 
 
 def upsert_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from docweave.functions.similarity import similarity_ratio
 from docweave.functions.tables import register_table_functions
 from docweave.operators import chunking as C
 from docweave.sources import files as S
+from docweave.sources import tables
 
 
 def docs_of(spark, texts, kind="markdown"):
@@ -121,6 +122,25 @@ def test_page_assembly(spark):
     assert all(doc.raw_text[b.char_start : b.char_end] == b.text for b in blocks)
 
 
+def test_long_documents_keep_all_pages(spark):
+    n = S.PAGE_BUCKET * 2 + 7
+    pages = spark.createDataFrame([("a", i, "x" * (i % 5)) for i in range(n)], "document_id string, page int, text string")
+    placed, rejects = S.place_pages(pages)
+    text = S.assemble_pages(pages).first()
+    assert text.page_count == n and rejects.count() == 0
+    for r in placed.collect():
+        assert text.raw_text[r.page_start : r.page_start + len(r.text)] == r.text
+    starts = [r.page_start for r in placed.orderBy("page").collect()]
+    assert starts == [sum(i % 5 + 1 for i in range(k)) for k in range(n)]
+
+
+def test_merge_keeps_the_last_of_equal_keys(spark):
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, t int")
+    new = spark.createDataFrame([(2, "y", 2), (2, "x", 1), (3, "z", 1), (3, "z", 1)], old.schema)
+    rows = tables.upsert(old, new, ["k"], ["t"]).collect()
+    assert sorted(map(tuple, rows)) == [(1, "a", 0), (2, "y", 2), (3, "z", 1)]
+
+
 def test_names(spark):
     names = ["Ｆａｓｔ　ＡＰＩ！", "Straße", "A-b_c  d\t", "x$y", "ﬁ", "", "!!", "İ", "a\x1fb"]
     rows = spark.createDataFrame([(n,) for n in names], "n string").select(
