@@ -26,6 +26,22 @@ def decode_text(content):
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")
 
 
+def _plain_path(path):
+    """Path without scheme and percent signs."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/*", "/")
+
+
+def relative_path(root: str):
+    """Path of a listed file below ``root``: unique within a recursive scan."""
+    base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), r"^file:/*", "/")
+    return F.replace(_plain_path(F.col("path")), base, F.lit(""))
+
+
+def in_skipped_folder(relative: str):
+    skip = "|".join(f.replace(".", r"\.") for f in SKIPPED_FOLDERS)
+    return F.col(relative).rlike(f"(^|/)({skip})/")
+
+
 def scan_documents(
     spark: SparkSession, root: str, max_bytes: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -38,19 +54,14 @@ def scan_documents(
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     )
-    base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), r"^file:/*", "/")
-    path = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/*", "/")
     listed = files.select(
         F.col("path").alias("source_path"),
-        F.replace(path, base, F.lit("")).alias("document_id"),
-        doc_type_of(path).alias("doc_type"),
+        relative_path(root).alias("document_id"),
+        doc_type_of(_plain_path(F.col("path"))).alias("doc_type"),
         "length",
         "content",
     )
-    skip = "|".join(f.replace(".", r"\.") for f in SKIPPED_FOLDERS)
-    listed = listed.where(
-        F.col("doc_type").isNotNull() & ~F.col("document_id").rlike(f"(^|/)({skip})/")
-    )
+    listed = listed.where(F.col("doc_type").isNotNull() & ~in_skipped_folder("document_id"))
     reason = F.when(F.col("doc_type") == "pdf", "page text required")
     if max_bytes is not None:
         reason = F.when(F.col("length") > max_bytes, "file too large").otherwise(reason)

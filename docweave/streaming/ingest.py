@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docweave.operators.chunking import chunk_documents
-from docweave.sources.files import decode_text, doc_type_of
+from docweave.sources.files import decode_text, doc_type_of, in_skipped_folder, relative_path
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -24,12 +24,13 @@ def document_stream(spark: SparkSession, root: str, max_files: int = 1000) -> Da
         .load(root)
     )
     kind = doc_type_of(F.col("path"))
-    return files.where(kind.isin("text", "markdown")).select(
-        F.element_at(F.split("path", "/"), -1).alias("document_id"),
+    listed = files.where(kind.isin("text", "markdown")).select(
+        relative_path(root).alias("document_id"),
         F.col("path").alias("source_path"),
         kind.alias("doc_type"),
         decode_text(F.col("content")).alias("raw_text"),
     )
+    return listed.where(~in_skipped_folder("document_id"))
 
 
 def ingest_stream(

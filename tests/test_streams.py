@@ -105,5 +105,8 @@ def test_ingest_stream(spark, tmp_path):
         return {(r.document_id, r.text) for r in I.latest_chunks(spark, base).collect()}
 
     assert run() == {("a.md", "# A"), ("a.md", "body")}
+    for folder, text in (("sub dir", "other"), (".git", "skipped")):
+        (inbox / folder).mkdir()
+        (inbox / folder / "a.md").write_text(text)
     (inbox / "c.txt").write_text("plain")
-    assert run() == {("a.md", "# A"), ("a.md", "body"), ("c.txt", "plain")}
+    assert run() == {("a.md", "# A"), ("a.md", "body"), ("c.txt", "plain"), ("sub dir/a.md", "other")}
