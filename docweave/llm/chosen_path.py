@@ -3,9 +3,9 @@
 A run sends each set down a random tree: at a node, each of its shingles opens a branch with
 probability 1 / (lambda * size of the set), by a hash of node and shingle. Two sets that share
 lambda of the larger one keep one common branch a level on average, others soon part
-(Christiani and Pagh 2017). Sets that end in one bucket are compared by sketches, buckets that
-stay large go down further levels, and independent runs are repeated until a pair at the
-threshold is missed with at most 1 - recall. Sketch matches form loose families; inside of a
+(Christiani and Pagh 2017). All sets that end in one bucket are compared by sketches, large
+buckets in tiles, and independent runs are repeated until a pair at the threshold is missed
+with at most 1 - recall. Sketch matches form loose families; inside of a
 family, links are then counted exactly on whole shingle sets, in bounded blocks.
 """
 
@@ -26,7 +26,7 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 LEVELS = 3
 #: Sketch bytes; sketches match from ``LOOSE`` on, and ``SURE`` stands for the leader's role.
 SKETCH, LOOSE, SURE = 128, 0.55, 0.85
-#: Rows of a bucket that is compared at once, and shingles of a block of a family.
+#: Rows of a bucket that are compared at once, and shingles of a block of a family.
 SMALL, BLOCK, BLOCK_ROWS = 8192, 1_000_000, 512
 _STEPS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -85,23 +85,15 @@ def fingerprints(docs: DataFrame, similarity: float, runs: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, n bigint, signature binary, sketch binary, leaves array<bigint>")
 
 
-def _deeper(key: np.ndarray, sketches: np.ndarray, similarity: float) -> list[np.ndarray]:
-    """One more level by the bytes of the sketch as tokens, for each row of a bucket."""
-    tokens = mix(sketches.astype(np.uint64) + (np.arange(SKETCH, dtype=np.uint64) << np.uint64(8)))
-    drawn = mix(tokens ^ key[:, None])
-    hit = drawn <= np.uint64(int(2**64 / (similarity * SKETCH)))
-    return [mix(drawn[i, hit[i]]) for i in range(len(key))]
-
-
-def _leaders(ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (id, leader) among matching sketches of one bucket.
+def _leaders(ids: np.ndarray, sketches: np.ndarray, first: int) -> list[tuple[int, int]]:
+    """Edges (id, leader) among matching sketches of one bucket, led by its ``first`` rows.
 
     Each row that no leader is sure of becomes one and is compared with all rows. A row near
     to a leader needs no turn of its own: whatever lies within the threshold of it still
     matches the leader loosely.
     """
     out, todo, label = [], np.ones(len(ids), bool), np.arange(len(ids))
-    for i in range(len(ids)):
+    for i in range(first):
         if todo[i]:
             alike = (sketches == sketches[i]).mean(1)
             todo[alike >= SURE] = False
@@ -118,52 +110,30 @@ def _join(label: np.ndarray, x: int, others: np.ndarray) -> list[tuple[int, int]
     return [(x, int(y)) for y in others[first[new]]]
 
 
-def candidate_edges(prints: DataFrame, similarity: float) -> DataFrame:
-    """Distinct edges (a, b) between documents whose sketches match in some bucket."""
+def candidate_edges(prints: DataFrame) -> DataFrame:
+    """Distinct edges (a, b) between documents whose sketches match in some bucket.
+
+    A bucket above ``SMALL`` rows is cut into parts, and all pairs of parts are compared.
+    """
     rows = prints.select("id", F.explode("leaves").alias("leaf"))
     sizes = rows.groupBy("leaf").agg(F.count("*").alias("rows")).where("rows > 1")
-    rows = store(rows.join(sizes, "leaf"), "buckets")
-    held = prints.select("id", "sketch")
-    edges, level = None, 0
-    while True:
-        # Rows of large buckets go one level down; what never parts is dealt by sketch prefixes.
-        small = rows.where(F.col("rows") <= SMALL).join(held, "id").select("leaf", F.lit(0).cast("long").alias("part"), "id", "sketch")
-        large = rows.where(F.col("rows") > SMALL)
-        some = small
-        last = level >= 6 or large.isEmpty()
-        if last:
-            cells = large.join(held, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / SMALL)).cast("long"))
-            # The first rows of a large bucket lead all of its parts.
-            turn = F.row_number().over(Window.partitionBy("leaf").orderBy("id"))
-            leads = cells.where("part = 0").withColumn("turn", turn).where("turn <= 64")
-            spread = leads.select("leaf", "id", "sketch", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rows") / SMALL) - 1)).alias("part"))
-            some = some.unionByName(cells.select("leaf", "part", "id", "sketch")).unionByName(spread.select("leaf", "part", "id", "sketch")).distinct()
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def compare(key, table):
-            ids = table["id"].to_numpy()
-            raw = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-            order = np.argsort(ids)
-            found = _leaders(ids[order], raw[order])
-            return [list(c) for c in zip(*found, strict=True)] if found else [[], []]
-
-        new = map_groups(some, ["leaf", "part"], compare, schema, "a bigint, b bigint").distinct()
-        edges = new if edges is None else edges.unionByName(new)
-        if last:
-            return edges.distinct()
-
-        def descend(batches):
-            for batch in slices(batches):
-                raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SKETCH)
-                more = _deeper(batch.column(1).to_numpy().view(np.uint64), raw, similarity * 0.9)
-                ids = np.repeat(batch.column(0).to_numpy(), [len(m) for m in more])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(more).view(np.int64))], ["id", "leaf"])
-
-        down = large.join(held, "id").select("id", "leaf", "sketch").mapInArrow(descend, "id bigint, leaf bigint").distinct()
-        down = store(down, "buckets")
-        sizes = down.groupBy("leaf").agg(F.count("*").alias("rows")).where("rows > 1")
-        rows = store(down.join(sizes, "leaf"), "buckets")
-        level += 1
+    parts = F.ceil(F.col("rows") / SMALL)
+    rows = store(rows.join(sizes, "leaf").select("leaf", "id", parts.alias("parts")), "buckets")
+    some = rows.join(prints.select("id", "sketch"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("long"))
+    small = some.where("parts = 1").select("leaf", F.col("part").alias("i"), F.col("part").alias("j"), "part", "id", "sketch")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    large = some.where("parts > 1").select("leaf", "part", "id", "sketch", other)
+    large = large.select("leaf", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "sketch")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(key, table):
+        ids, part = table["id"].to_numpy(), table["part"].to_numpy()
+        raw = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        order = np.lexsort((ids, part))
+        found = _leaders(ids[order], raw[order], int((part == key[1]).sum()))
+        return [list(c) for c in zip(*found, strict=True)] if found else [[], []]
+
+    return map_groups(small.unionByName(large), ["leaf", "i", "j"], compare, schema, "a bigint, b bigint").distinct()
 
 
 def _count_links(key, table, similarity: float):
@@ -213,7 +183,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     prints = store(fingerprints(chosen, similarity, runs_for(recall)), "fingerprints")
     copies = store(prints.groupBy("signature").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "copies")
     reps = prints.join(copies.select(F.col("rep").alias("id"), "signature"), ["id", "signature"], "left_semi").dropDuplicates(["id"])
-    edges = store(candidate_edges(reps, similarity), "edges")
+    edges = store(candidate_edges(reps), "edges")
     nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     families = store(component_labels(nodes, edges).select("id", F.col("component").alias("family")), "families")
     members = families.join(copies.select(F.col("rep").alias("id"), "copies", "n"), "id")

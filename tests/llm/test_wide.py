@@ -192,6 +192,21 @@ def test_join_equals_brute_force(docs_of, monkeypatch, odd_docs, no_docs):
     assert chosen_path.near_duplicates(no_docs).count() == 0
 
 
+def test_large_bucket_loses_no_pair(spark, monkeypatch):
+    """Near copies inside of a template: half of each sketch is common to all, no row leads the others."""
+    monkeypatch.setattr(chosen_path, "SMALL", 16)
+    rng = np.random.default_rng(5)
+    common, rows = rng.integers(0, 256, 64), []
+    for i in range(150):
+        own = np.concatenate([common[:60], rng.integers(0, 256, 68)]).astype(np.uint8)
+        near = own.copy()
+        near[-20:] += 1
+        rows += [(i, own.tobytes(), [7]), (1000 + i, near.tobytes(), [7])]
+    prints = spark.createDataFrame([(i, bytearray(x), leaves) for i, x, leaves in rows], "id long, sketch binary, leaves array<long>")
+    got = {frozenset((r.a, r.b)) for r in chosen_path.candidate_edges(prints).collect()}
+    assert got == {frozenset((i, 1000 + i)) for i in range(150)}
+
+
 def brute_repeats(rows, length=20):
     seen, out = set(), {}
     for i, t in rows:
