@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.llm.chosen_path import near_duplicates
+from docweave.llm.chosen_path import near_classes
 from docweave.llm.classifier import keep_good
-from docweave.llm.common import id_key
+from docweave.llm.common import WORD, id_key, text_key
 from docweave.llm.mixing import mix
 from docweave.llm.pieces import encode_n_best
 from docweave.llm.queries import PIECE_MODEL
@@ -24,10 +24,13 @@ def quality(spark, docs, sf_dir):
 
 
 def near_copies(spark, docs, sf_dir):
-    """The smallest id of each class of near-duplicates stays, once."""
-    stay = near_duplicates(docs).where("doc_id <=> class_id").select(id_key("doc_id").alias("key")).distinct()
-    rows = docs.select(*COLUMNS, id_key("doc_id").alias("key")).join(stay, "key", "left_semi")
-    return rows.dropDuplicates(["key"]).select(*COLUMNS)
+    """The row of the smallest id of each class of near-duplicates stays, once; a row only
+    goes if its class has another one, so texts without words stay."""
+    stay = near_classes(docs).where("stays").select(F.col("id").alias("key"), "t")
+    rows = docs.select(*COLUMNS, id_key("doc_id").alias("key"), text_key().alias("t"))
+    firsts = rows.join(stay, ["key", "t"], "left_semi").dropDuplicates(["key", "t"])
+    wordless = rows.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    return firsts.unionByName(wordless).select(*COLUMNS)
 
 
 def repeats(spark, docs, sf_dir):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import batch_hashes, id_back, id_key, map_groups, mix, slices, window_hashes
+from docweave.llm.common import batch_hashes, id_back, id_key, map_groups, mix, slices, text_key, window_hashes
 from docweave.operators.graph import component_labels
 from docweave.session import store
 
@@ -69,20 +69,20 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, similarity: float, runs: int) -> DataFrame:
-    """(id, n, signature, sketch, leaves) of all documents with words."""
+    """(id, t, n, signature, sketch, leaves) of all documents with words."""
 
     def run(batches):
         for batch in slices(batches, 500):
             rows = []
-            for doc, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1).to_pylist()), strict=True):
+            for doc, t, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingles(batch.column(1).to_pylist()), strict=True):
                 if len(s):
                     sign = np.array([len(s), mix(s).sum(), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], np.uint64).tobytes()
-                    rows.append((doc, len(s), sign, sketch(s).tobytes(), paths(s, similarity, runs).view(np.int64)))
+                    rows.append((doc, t, len(s), sign, sketch(s).tobytes(), paths(s, similarity, runs).view(np.int64)))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "n", "signature", "sketch", "leaves"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "t", "n", "signature", "sketch", "leaves"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, signature binary, sketch binary, leaves array<bigint>")
+    return docs.mapInArrow(run, "id bigint, t bigint, n bigint, signature binary, sketch binary, leaves array<bigint>")
 
 
 def _leaders(ids: np.ndarray, sketches: np.ndarray, first: int) -> list[tuple[int, int]]:
@@ -169,47 +169,61 @@ def _count_links(key, table, similarity: float):
     return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(doc_id, copy_id, class_id, n_links) of every document.
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """(id, t, copy_id, class_id, n_links, stays) of every distinct id and text with words.
 
-    ``copy_id`` is the smallest id with an equal shingle set, ``class_id`` the smallest id
-    that chains of links reach, ``n_links`` the number of other rows with a Jaccard
-    similarity of at least ``similarity``. Texts under five words are one shingle; null,
-    empty and blank texts have no links and are classes of their own. Rows that repeat an id
-    share its class. A null ``doc_id`` is treated as one id below all others; other columns
-    are ignored; texts are read whole; an empty table gives no rows.
+    ``t`` is the ``text_key``. ``stays`` marks one row of each class, that of the smallest id
+    and key, so that other rows with its id are told apart from it.
     """
-    chosen = docs.select(id_key("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    chosen = docs.select(id_key("doc_id").alias("id"), F.col("text").cast("string").alias("text"), text_key().alias("t"))
     prints = store(fingerprints(chosen, similarity, runs_for(recall)), "fingerprints")
-    copies = store(prints.groupBy("signature").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "copies")
-    reps = prints.join(copies.select(F.col("rep").alias("id"), "signature"), ["id", "signature"], "left_semi").dropDuplicates(["id"])
-    edges = store(candidate_edges(reps), "edges")
+    copies = prints.groupBy("signature").agg(F.min(F.struct("id", "t")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    # Sets get numbers of their own: an id can stand for several.
+    copies = store(copies.select(F.monotonically_increasing_id().alias("node"), "signature", "rep.id", "rep.t", "copies", "n"), "copies")
+    reps = prints.join(copies.select("id", "t", "signature", "node"), ["id", "t", "signature"]).dropDuplicates(["node"])
+    edges = store(candidate_edges(reps.select(F.col("node").alias("id"), "sketch", "leaves")), "edges")
     nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    families = store(component_labels(nodes, edges).select("id", F.col("component").alias("family")), "families")
-    members = families.join(copies.select(F.col("rep").alias("id"), "copies", "n"), "id")
+    families = store(component_labels(nodes, edges).select(F.col("id").alias("node"), F.col("component").alias("family")), "families")
+    members = families.join(copies.drop("signature"), "node")
     blocks = members.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / BLOCK_ROWS)).alias("blocks"))
-    members = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long"))
-    texts = chosen.join(members, "id").dropDuplicates(["id"])
+    members = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
+    texts = chosen.join(members, ["id", "t"]).dropDuplicates(["node"])
 
     def tokens(batches):
         for batch in slices(batches, 500):
             sets = pa.array([s.tobytes() for s in shingles(batch.column(0).to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], sets], ["id", "family", "block", "blocks", "copies", "tokens"])
 
-    sets = texts.select("text", "id", "family", "block", "blocks", "copies").mapInArrow(tokens, "id bigint, family bigint, block bigint, blocks bigint, copies bigint, tokens binary")
+    sets = texts.select("text", "node", "family", "block", "blocks", "copies").mapInArrow(tokens, "id bigint, family bigint, block bigint, blocks bigint, copies bigint, tokens binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     tiles = sets.select("id", "family", "block", "copies", "tokens", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
     found = store(map_groups(tiles, ["family", "i", "j"], lambda k, t: _count_links(k, t, similarity), schema, "a bigint, b bigint, links bigint"), "links")
-    links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     joined = found.where("a <> b").select("a", "b")
     ends = joined.select(F.col("a").alias("id")).union(joined.select("b")).distinct()
-    classes = component_labels(ends, joined).select(F.col("id").alias("rep"), "component")
-    known = copies.join(links, "rep", "left").join(classes, "rep", "left").select(
-        "signature", F.col("rep").alias("copy_id"), F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    labels = store(component_labels(ends, joined).select(F.col("id").alias("node"), "component"), "classes")
+    least = labels.join(copies.select("node", "id", "t"), "node").groupBy("component").agg(F.min(F.struct("id", "t")).alias("head"))
+    known = copies.join(links, "node", "left").join(labels.join(least, "component").select("node", "head"), "node", "left").select(
+        "signature", F.col("id").alias("copy_id"), F.coalesce("head", F.struct("id", "t")).alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    by_id = prints.select("id", "signature").join(known, "signature").groupBy("id").agg(F.min("copy_id").alias("copy_id"), F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
-    out = chosen.select("id").join(by_id, "id", "left").select(
+    rows = prints.select("id", "t", "signature").join(known, "signature")
+    rows = rows.select("id", "t", "copy_id", F.col("head.id").alias("class_id"), "n_links", (F.struct("id", "t") == F.col("head")).alias("stays"))
+    return rows.groupBy("id", "t").agg(*(F.max(c).alias(c) for c in ("copy_id", "class_id", "n_links", "stays")))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """(doc_id, copy_id, class_id, n_links) of every document.
+
+    ``copy_id`` is the smallest id with an equal shingle set, ``class_id`` the smallest id
+    that chains of links reach, ``n_links`` the number of other rows with a Jaccard
+    similarity of at least ``similarity``. Texts under five words are one shingle; null,
+    empty and blank texts have no links and are classes of their own. Rows that share an id
+    are judged each by its own text. A null ``doc_id`` comes before all others; other columns
+    are ignored; texts are read whole; an empty table gives no rows.
+    """
+    known = near_classes(docs, similarity, recall)
+    out = docs.select(id_key("doc_id").alias("id"), text_key().alias("t")).join(known, ["id", "t"], "left").select(
         F.col("id").alias("doc_id"), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
     return out.withColumns({c: id_back(c) for c in ("doc_id", "copy_id", "class_id")})

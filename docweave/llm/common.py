@@ -29,6 +29,11 @@ def id_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+def text_key(column: str = "text") -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.col(column).cast("string"))
+
+
 def id_back(column: str) -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import batch_hashes, flat_lists, id_back, id_key, mix, slices, split_words, window_hashes
+from docweave.llm.common import batch_hashes, flat_lists, id_back, id_key, mix, slices, split_words, text_key, window_hashes
 from docweave.session import store
 
 BASE, LENGTH = 10, 20
@@ -43,7 +43,7 @@ def witnesses(small: np.ndarray, base: int, length: int) -> np.ndarray:
     return (_least((mix(small) & ~_LOW) | place, span) & _LOW).astype(np.int64)
 
 
-_ROWS = "h bigint, id bigint, at int, n int"
+_ROWS = "h bigint, id bigint, t bigint, at int, n int"
 
 
 def _distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,15 +53,16 @@ def _distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _emit(found: list[tuple]) -> pa.RecordBatch:
-    ids = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
-    h, at, n = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3))
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "id", "at", "n"])
+    ids, keys = (np.repeat(np.array([f[k] for f in found], np.int64), [len(f[2]) for f in found]) for k in (0, 1))
+    h, at, n = (np.concatenate([f[k] for f in found]) for k in (2, 3, 4))
+    arrays = [pa.array(h.view(np.int64)), pa.array(ids), pa.array(keys), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, ["h", "id", "t", "at", "n"])
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """(id, ats): first places in each document of the hashes that occur twice or more."""
+    """(id, t, ats): first places in each document of the hashes that occur twice or more."""
     twice = rows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    return rows.join(twice, "h", "left_semi").groupBy("id").agg(F.collect_list("at").alias("ats"))
+    return rows.join(twice, "h", "left_semi").groupBy("id", "t").agg(F.collect_list("at").alias("ats"))
 
 
 def _hashed(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
@@ -85,18 +86,18 @@ def remove_repeats(
     """
     if length % base or (length // base) & (length // base - 1):
         raise ValueError("length has to be base times a power of two")
-    chosen = docs.select(id_key("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    chosen = docs.select(id_key("doc_id").alias("id"), F.col("text").cast("string").alias("text"), text_key().alias("t"))
     passed = [f"carry{k}" for k in range(len(carry))]
-    carried = docs.select(id_key("doc_id").alias("id"), F.col("text").cast("string").alias("text"), *(F.col(c).cast("string").alias(p) for c, p in zip(carry, passed, strict=True)))
+    carried = docs.select(id_key("doc_id").alias("id"), F.col("text").cast("string").alias("text"), text_key().alias("t"), *(F.col(c).cast("string").alias(p) for c, p in zip(carry, passed, strict=True)))
 
     def first_level(batches):
         for batch in slices(batches, 500):
             found = []
-            for doc, h in zip(batch.column(0).to_pylist(), _hashed(batch, 1), strict=True):
+            for doc, t, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _hashed(batch, 1), strict=True):
                 if len(h) >= length:
                     small = window_hashes(h, base)
                     at = witnesses(small, base, length)
-                    found.append((doc, *_distinct(small, at[np.concatenate([[True], at[1:] != at[:-1]])])))
+                    found.append((doc, t, *_distinct(small, at[np.concatenate([[True], at[1:] != at[:-1]])])))
             if found:
                 yield _emit(found)
 
@@ -104,13 +105,13 @@ def remove_repeats(
         for batch in slices(batches):
             words = [split_words(t) for t in batch.column(1).to_pylist()]
             sums = [hashlib.sha256(b" ".join(w)).digest() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), pa.array(sums, pa.binary())], ["id", "n_words", "sum"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), pa.array(sums, pa.binary()), batch.column(2)], ["id", "n_words", "sum", "t"])
 
-    sums = store(chosen.mapInArrow(digest, "id bigint, n_words bigint, sum binary").where(F.col("n_words") >= length), "digests")
+    sums = store(chosen.mapInArrow(digest, "id bigint, n_words bigint, sum binary, t bigint").where(F.col("n_words") >= length), "digests")
     firsts = sums.groupBy("sum").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = sums.join(firsts, "sum").where("id <> first").select("id", F.col("sum").alias("copy_sum")).distinct()
+    copies = sums.join(firsts, "sum").where("id <> first").select("id", "t", F.col("sum").alias("copy_sum")).distinct()
     places = _repeated(chosen.mapInArrow(first_level, _ROWS))
-    marked = carried.join(places, "id", "left").join(copies, "id", "left").select("id", "text", "ats", "copy_sum", *passed)
+    marked = carried.join(places, ["id", "t"], "left").join(copies, ["id", "t"], "left").select("id", "text", "ats", "copy_sum", "t", *passed)
     names = ["id", "n_words", "n_removed", "kept_sha256", "kept_text", "text", "starts"]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()))
 
@@ -133,12 +134,12 @@ def remove_repeats(
                 plain = (joined.decode("utf-8", "surrogatepass") if spaced else text) if keep_text else None
                 rows.append((doc, len(h), 0, sha.hexdigest(), plain, None if starts is None else text, starts))
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[4:]], [*names, *passed])
+            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[4:]], [*names, "t", *passed])
 
-    ddl = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, text string, starts array<int>" + "".join(f", {p} string" for p in passed)
+    ddl = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, text string, starts array<int>, t bigint" + "".join(f", {p} string" for p in passed)
     settled = store(marked.mapInArrow(settle, ddl), "settled")
-    candidates = "id bigint, text string, starts array<int>"
-    open_docs = settled.where("text IS NOT NULL").select("id", "text", "starts")
+    candidates = "id bigint, text string, starts array<int>, t bigint"
+    open_docs = settled.where("text IS NOT NULL").select("id", "text", "starts", "t")
 
     def windows(width):
         """The windows of ``width`` words that full candidates consist of."""
@@ -147,10 +148,10 @@ def remove_repeats(
             for batch in slices(batches, 500):
                 flat, offsets = flat_lists(batch.column(2))
                 flat, found = flat.to_numpy(), []
-                for k, (doc, h) in enumerate(zip(batch.column(0).to_pylist(), _hashed(batch, 1), strict=True)):
+                for k, (doc, t, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), _hashed(batch, 1), strict=True)):
                     s = flat[offsets[k] : offsets[k + 1]]
                     at = np.unique(np.concatenate([s + j for j in range(0, length, width)])) if width < length else s
-                    found.append((doc, *_distinct(window_hashes(h, width), at)))
+                    found.append((doc, t, *_distinct(window_hashes(h, width), at)))
                 yield _emit(found)
 
         return run
@@ -160,7 +161,7 @@ def remove_repeats(
 
         def run(batches):
             for batch in slices(batches, 500):
-                (s_flat, s_at), (p_flat, p_at) = flat_lists(batch.column(2)), flat_lists(batch.column(3))
+                (s_flat, s_at), (p_flat, p_at) = flat_lists(batch.column(2)), flat_lists(batch.column(4))
                 s_flat, p_flat, out = s_flat.to_numpy(), p_flat.to_numpy(), []
                 for k, h in enumerate(_hashed(batch, 1)):
                     s, w = s_flat[s_at[k] : s_at[k + 1]], window_hashes(h, width)
@@ -170,7 +171,7 @@ def remove_repeats(
                         s = s[good[s + j]]
                     out.append(s)
                 live = pa.array([len(s) > 0 for s in out], pa.bool_())
-                full = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["id", "text", "starts"])
+                full = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32())), batch.column(3)], ["id", "text", "starts", "t"])
                 yield full.filter(live)
 
         return run
@@ -178,18 +179,18 @@ def remove_repeats(
     width = base * 2
     while width < length:
         places = _repeated(open_docs.mapInArrow(windows(width), _ROWS))
-        open_docs = store(open_docs.join(places, "id").mapInArrow(narrow(width), candidates), "level")
+        open_docs = store(open_docs.join(places, ["id", "t"]).select("id", "text", "starts", "t", "ats").mapInArrow(narrow(width), candidates), "level")
         width *= 2
     rows = open_docs.mapInArrow(windows(length), _ROWS)
     first = rows.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.sum("n").alias("places")).where("places > 1")
     ahead = F.struct("id", "at") == F.col("first")
-    later = rows.join(first, "h").where(~ahead | (F.col("n") > 1)).groupBy("id").agg(F.collect_list(F.struct("h", ahead.alias("ahead"))).alias("gone"))
+    later = rows.join(first, "h").where(~ahead | (F.col("n") > 1)).groupBy("id", "t").agg(F.collect_list(F.struct("h", ahead.alias("ahead"))).alias("gone"))
 
     def cut(batches):
         for batch in slices(batches, 500):
             flat, offsets = flat_lists(batch.column(2))
             gone, ahead, out = flat.field("h").to_numpy(), flat.field("ahead").to_numpy(zero_copy_only=False), []
-            for k, (doc, text, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _hashed(batch, 1), strict=True)):
+            for k, (doc, text, t, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), _hashed(batch, 1), strict=True)):
                 words, w = split_words(text), window_hashes(h, length).view(np.int64)
                 part, lead = gone[offsets[k] : offsets[k + 1]], ahead[offsets[k] : offsets[k + 1]]
                 goes = np.isin(w, part)
@@ -200,15 +201,14 @@ def remove_repeats(
                 np.add.at(cover, at + length, -1)
                 stay = np.cumsum(cover)[:-1] == 0
                 joined = b" ".join([x for x, s in zip(words, stay.tolist(), strict=True) if s])
-                before = hashlib.sha256(b" ".join(words)).hexdigest()
                 kept = (joined.decode("utf-8", "surrogatepass") if spaced or not stay.all() else text) if keep_text else None
-                out.append((doc, before, int((~stay).sum()), hashlib.sha256(joined).hexdigest(), kept))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["cut_id", "sum", "gone", "cut_sha", "cut_text"])
+                out.append((doc, t, int((~stay).sum()), hashlib.sha256(joined).hexdigest(), kept))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["cut_id", "cut_t", "gone", "cut_sha", "cut_text"])
 
-    cuts = open_docs.select("id", "text").join(later, "id").mapInArrow(cut, "cut_id bigint, sum string, gone bigint, cut_sha string, cut_text string")
-    cuts = cuts.dropDuplicates(["cut_id", "sum"])
-    out = settled.drop("text", "starts").join(cuts, (F.col("id") == F.col("cut_id")) & (F.col("kept_sha256") == F.col("sum")) & (F.col("n_removed") == 0), "left")
+    cuts = open_docs.select("id", "text", "t").join(later, ["id", "t"]).select("id", "text", "gone", "t").mapInArrow(cut, "cut_id bigint, cut_t bigint, gone bigint, cut_sha string, cut_text string")
+    cuts = cuts.dropDuplicates(["cut_id", "cut_t"])
+    out = settled.drop("text", "starts").join(cuts, (F.col("id") == F.col("cut_id")) & (F.col("t") == F.col("cut_t")) & (F.col("n_removed") == 0), "left")
     return out.select(
         id_back("id").alias("doc_id"), "n_words", F.coalesce("gone", "n_removed").alias("n_removed"), F.coalesce("cut_sha", "kept_sha256").alias("kept_sha256"),
         F.when(F.col("cut_id").isNotNull(), F.col("cut_text")).otherwise(F.col("kept_text")).alias("kept_text"), *(F.col(p).alias(c) for c, p in zip(carry, passed, strict=True)),

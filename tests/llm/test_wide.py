@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow.fs as pafs
 import pytest
 
+import corpus_pipeline
 from docweave.llm import chosen_path, mixing, outliers, substrings, topk, warc
+from docweave.llm.common import text_key
 
 
 def test_archive_round_trip(spark):
@@ -238,6 +240,24 @@ def test_repeats_equal_brute_force(docs_of, length):
     assert got == brute_repeats(rows, length)
 
 
+def test_rows_that_share_an_id(docs_of):
+    """Different texts with a null or repeated id are joined, kept and cut each by itself."""
+    a, b, c, d, e = ([f"{x}{i}" for i in range(60)] for x in "abcde")
+    near = " ".join([*a[:59], "new"])
+    texts = [(None, " ".join(a)), (None, " ".join(b)), (None, near), (7, " ".join(c)), (7, " ".join(d)), (9, " ".join(c)), (9, " ".join(d)), (9, None), (9, "")]
+    rows = docs_of([(i, t, "en", "s") for i, t in texts])
+    got = collections.Counter(tuple(r) for r in chosen_path.near_duplicates(rows).collect())
+    assert got == {(None, None, None, 1): 2, (None, None, None, 0): 1, (7, 7, 7, 1): 2, (9, 7, 7, 1): 2, (9, 9, 9, 0): 2}
+    kept = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies(None, rows, None).collect())
+    first = min(r.t for r in rows.where("doc_id IS NULL").select("text", text_key().alias("t")).collect() if r.text != " ".join(b))
+    heads = {r.text for r in rows.where("doc_id IS NULL").select("text", text_key().alias("t")).where(f"t = {first}").collect()}
+    assert kept == collections.Counter([(None, heads.pop()), (None, " ".join(b)), (7, " ".join(c)), (7, " ".join(d)), (9, None), (9, "")])
+    # A window at two starts under one id goes at the later one only; copies under one id give no more rows.
+    moved = [(3, " ".join(e)), (3, " ".join(["x", *e])), (4, " ".join(c)), (4, " ".join(d)), (5, " ".join(c)), (5, " ".join(d))]
+    out = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(docs_of([(i, t, "en", "s") for i, t in moved])).collect())
+    assert out == {(3, 60, 0): 1, (3, 61, 60): 1, (4, 60, 0): 2, (5, 60, 60): 2}
+
+
 def test_repeats_odd_rows(odd_docs, no_docs):
     rows = substrings.remove_repeats(odd_docs, carry=("lang",), spaced=False).collect()
     assert len(rows) == 8 and all(r.n_removed == 0 for r in rows)
