@@ -1,15 +1,15 @@
 """Licence scan: exact phrases, and short notices with a bounded number of edits.
 
 A notice with at most k edits, cut into k + 1 pieces, keeps one piece unchanged
-(pigeonhole). An Aho-Corasick automaton finds all pieces in one scan; around each hit the
-regex library matches the whole notice with bounded errors and reports the span.
+(pigeonhole). An Aho-Corasick automaton finds all pieces in one scan; from each word start
+that fits a hit, edit distances to all word ends come from bit vectors (Hyyrö 2003), so no
+place within the errors is missed.
 """
 
 from __future__ import annotations
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +69,22 @@ def places(stream: bytes, phrase: bytes) -> list[int]:
     return out
 
 
+def closest(stream: str, start: int, size: int, errors: int, bits: dict[str, int]) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best match of a phrase from ``start`` to the end of a word."""
+    full = (1 << size) - 1
+    plus, minus, edits, best = full, 0, size, None
+    for at in range(start, min(len(stream), start + size + errors)):
+        same = bits.get(stream[at], 0)
+        diagonal = ((((same & plus) + plus) ^ plus) | same | minus) & full
+        up, down = minus | full & ~(plus | diagonal), plus & diagonal
+        edits += (up >> size - 1) - (down >> size - 1)
+        up = (up << 1 | 1) & full
+        plus, minus = (down << 1 | ~(up | diagonal)) & full, up & diagonal
+        if edits <= errors and stream[at] != " " and stream[at + 1 : at + 2] in ("", " ") and (best is None or edits < best[0]):
+            best = (edits, start, at + 1)
+    return best
+
+
 class FuzzyNotices:
     """Matches notices with at most ``error_share`` of their characters edited."""
 
@@ -78,8 +94,10 @@ class FuzzyNotices:
         seeds: dict[str, list[tuple[int, int, int]]] = {}
         for k, (phrase, label) in enumerate(notices):
             errors = min(int(len(phrase) * error_share), max(0, len(phrase) // least_piece - 1))
-            pattern = regex.compile(f"(?:{regex.escape(phrase)}){{e<={errors}}}", regex.BESTMATCH)
-            self.notices.append((phrase, label, errors, pattern))
+            bits: dict[str, int] = {}
+            for i, c in enumerate(phrase):
+                bits[c] = bits.get(c, 0) | 1 << i
+            self.notices.append((phrase, label, errors, bits))
             cuts = [len(phrase) * i // (errors + 1) for i in range(errors + 2)]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 seeds.setdefault(phrase[i:j], []).append((k, i, j))
@@ -88,50 +106,35 @@ class FuzzyNotices:
         if seeds:
             self.automaton.make_automaton()
 
-    def windows(self, stream: str) -> dict[int, list[list[int]]]:
-        """Merged stretches of the stream that can hold each notice."""
-        found: dict[int, list[list[int]]] = {}
+    def starts(self, stream: str) -> dict[int, set[int]]:
+        """Word starts from which each notice can match: a seed's place fixes them to its errors."""
+        found: dict[int, set[int]] = {}
         if not self.notices:
             return found
         for end, uses in self.automaton.iter(stream):
             for k, i, j in uses:
-                phrase, _, errors, _ = self.notices[k]
-                start = end + 1 - (j - i)
-                low = max(0, start - i - errors)
-                high = min(len(stream), start - i + len(phrase) + errors)
-                found.setdefault(k, []).append([low, high])
-        for k, spans in found.items():
-            spans.sort()
-            merged = [spans[0]]
-            for low, high in spans[1:]:
-                if low <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], high)
-                else:
-                    merged.append([low, high])
-            found[k] = merged
+                at, errors = end + 1 - j, self.notices[k][2]
+                held = found.setdefault(k, set())
+                for s in range(max(0, at - errors), min(len(stream), at + errors + 1)):
+                    if stream[s] != " " and (s == 0 or stream[s - 1] == " "):
+                        held.add(s)
         return found
 
     def matches(self, stream: str) -> list[tuple[str, int, int, int, float]]:
         """(label, start, end, edits, similarity) in characters of the stream.
 
-        A match starts and ends between words and has as many edits as its notice allows.
+        A match starts and ends between words and has as many edits as its notice allows. Of
+        overlapping places of one notice that with the fewest edits stands.
         """
         out = []
-        for k, spans in self.windows(stream).items():
-            phrase, label, errors, pattern = self.notices[k]
-            for low, high in spans:
-                at = low
-                while hit := pattern.search(stream, at, high):
-                    start, end = hit.span()
-                    while start < end and stream[start] == " ":
-                        start += 1
-                    while end > start and stream[end - 1] == " ":
-                        end -= 1
-                    edits = sum(hit.fuzzy_counts)
-                    whole = stream[start - 1 : start] in ("", " ") and stream[end : end + 1] in ("", " ")
-                    if whole and end > start:
-                        out.append((label, start, end, edits, 1 - edits / len(phrase)))
-                    at = max(hit.end(), at + 1) if whole else hit.start() + 1
+        for k, held in self.starts(stream).items():
+            phrase, label, errors, bits = self.notices[k]
+            hits = [hit for s in held if (hit := closest(stream, s, len(phrase), errors, bits))]
+            taken: list[tuple[int, int]] = []
+            for edits, start, end in sorted(hits):
+                if all(end <= x or y <= start for x, y in taken):
+                    taken.append((start, end))
+                    out.append((label, start, end, edits, 1 - edits / len(phrase)))
         out = sorted(set(out), key=lambda m: (m[1], m[2], m[0], m[3]))
         # Of notices that differ in a word or two, the closest one stands for a place.
         return [m for m in out if not any(o[4] > m[4] and o[1] < m[2] and m[1] < o[2] and o[2] - o[1] >= m[2] - m[1] - 2 for o in out)]

@@ -98,6 +98,40 @@ def test_pigeonhole_finds_all_edited_notices():
             assert label
 
 
+def least_edits(phrase, stream, start):
+    """(edits, end) of the best match from ``start`` that ends between words."""
+    row, best = list(range(len(phrase) + 1)), (99, 0)
+    for at in range(start, min(len(stream), start + len(phrase) + 9)):
+        new = [row[0] + 1]
+        for i, c in enumerate(phrase):
+            new.append(min(row[i] + (c != stream[at]), row[i + 1] + 1, new[i] + 1))
+        row = new
+        if stream[at] != " " and stream[at + 1 : at + 2] in ("", " "):
+            best = min(best, (row[-1], at + 1))
+    return best
+
+
+def test_notices_edited_at_their_edges():
+    random.seed(9)
+    fuzzy = notices.FuzzyNotices(notices.NOTICES)
+    for phrase, label, errors, _ in fuzzy.notices:
+        for text in (phrase + "s", "x" + phrase, phrase[1:], phrase[:-1]):
+            for stream, places in ((f" qq {text} qq ", 1), (f" {text} {text} ", 2), (f" {text} {phrase} qq {text} ", 3)):
+                got = [m for m in fuzzy.matches(stream) if m[0] == label]
+                if errors:
+                    assert len(got) >= places, (stream, got)
+        alone = notices.FuzzyNotices([(phrase, label)])
+        for _ in range(20):
+            chars = list(phrase)
+            for _ in range(random.randint(0, errors + 1)):
+                at = random.randrange(len(chars) + 1)
+                chars[at : at + random.randint(0, 1)] = random.choice(["", "x", " ", "e"])
+            stream = " " + " ".join(("qq " + "".join(chars) + " zz").split()) + " "
+            found = [(least_edits(phrase, stream, s)[0], s) for s in range(1, len(stream)) if stream[s - 1] == " " and stream[s] != " "]
+            got = alone.matches(stream)
+            assert min([m[3] for m in got], default=None) == min([f[0] for f in found if f[0] <= errors], default=None), (phrase, stream, got)
+
+
 def test_notices_odd_rows(odd_docs, no_docs):
     rows = {r.doc_id: r for r in notices.scan_licenses(odd_docs).collect()}
     assert rows[1].n_words == 0 and rows[1].labels == "" and rows[1].first_word is None and rows[1].score == 0
