@@ -24,7 +24,8 @@ from docweave.session import store
 STATS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 Z = ("z0", "z1", "z2", "z3")
 P = len(Z)
-#: Below so many rows a group is too small to judge, and all of its rows are kept.
+#: Groups below so many rows are judged by the estimate of their language, small languages by
+#: that of all rows, and in a smaller table yet the estimate rests on all rows, not on half.
 LEAST_ROWS = 40
 STEPS = 8
 #: Logarithmic bins per factor of two of a squared distance.
@@ -127,7 +128,8 @@ def _nearest(rows: DataFrame, fits: DataFrame) -> DataFrame:
     bins = far.groupBy("g", "start", "bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy("g", "start")
     upto = F.sum("n").over(w.orderBy("bin"))
-    half = F.sum("n").over(w) / 2
+    total = F.sum("n").over(w)
+    half = F.when(total < LEAST_ROWS, total).otherwise(total / 2)
     last = bins.withColumn("over", upto >= half).where("over").groupBy("g", "start").agg(F.min("bin").alias("last"))
     return far.join(last, ["g", "start"]).where("bin <= last")
 
@@ -136,16 +138,24 @@ def reject_outliers(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS)
     """Statistics, base verdict, squared robust ``distance`` and ``kept`` of every document.
 
     Estimates use all rows that pass the base rules. Null languages and sources are groups
-    of their own. Rows of groups below ``LEAST_ROWS`` get a null distance and are kept if
-    they pass the base rules. Null, empty and blank texts have no words and fail them.
+    of their own. Rows of groups below ``LEAST_ROWS`` are judged by the estimate of all rows
+    of their language, or of all rows if these are too few as well. Null, empty and blank texts have no words and fail them.
     Repeated rows count each; a null ``doc_id`` stays; an empty table gives no rows.
     """
-    g = F.concat_ws("\1", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-"))
+    g = F.concat_ws("\1", lang, F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
     stats = store(text_statistics(docs), "statistics")
+    groups = stats.groupBy(g.alias("g"), lang.alias("lang")).agg(F.count_if(~F.col("base_failed")).alias("rows"))
+    langs = groups.groupBy("lang").agg(F.sum("rows").alias("lang_rows"))
+    # ``used`` is the estimate that judges a group; its rows also serve the wider ones in use.
+    wider = F.when(F.col("lang_rows") >= LEAST_ROWS, F.concat(F.lit("lang"), "lang")).otherwise(F.lit("all"))
+    used = F.when(F.col("rows") >= LEAST_ROWS, F.concat(F.lit("group"), "g")).otherwise(wider)
+    groups = store(groups.join(langs, "lang").select("g", "lang", used.alias("used")), "groups")
+    feeds = groups.select("g", F.explode(F.array(F.concat(F.lit("group"), "g"), F.concat(F.lit("lang"), "lang"), F.lit("all"))).alias("used"))
+    feeds = store(feeds.join(groups.select("used").distinct(), "used", "left_semi"), "feeds")
     zs = stats.where(~F.col("base_failed")).select(g.alias("g"), *(z.alias(n) for z, n in zip(_transformed(), Z, strict=True)))
-    big = zs.groupBy("g").agg(F.count("*").alias("rows"), *(F.percentile_approx(z, 0.5, 1000).alias(f"m{i}") for i, z in enumerate(Z))).where(F.col("rows") >= LEAST_ROWS)
-    big = store(big, "groups")
-    zs = zs.join(big.select("g"), "g")
+    zs = zs.join(feeds, "g").select(F.col("used").alias("g"), *Z)
+    big = store(zs.groupBy("g").agg(*(F.percentile_approx(z, 0.5, 1000).alias(f"m{i}") for i, z in enumerate(Z))), "medians")
     # Starts: all rows, all rows without correlations, and the half around the medians.
     every = zs.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     around = big.select("g", F.lit(2).alias("start"), F.array(*(F.col(f"m{i}") for i in range(P))).alias("mean"), F.array(*(F.lit(float(i == j)) for i in range(P) for j in range(P))).alias("inverse"))
@@ -160,8 +170,9 @@ def reject_outliers(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS)
     w = Window.partitionBy("g")
     middle = spread.withColumn("over", F.sum("n").over(w.orderBy("bin")) >= F.sum("n").over(w) / 2).where("over").groupBy("g").agg((F.pow(F.lit(2.0), (F.min("bin") + 1) / BINS) / MEDIAN).alias("factor"))
     best = best.join(middle, "g").withColumn("factor", F.greatest("factor", F.lit(1.0)))
+    best = groups.select("g", "used").join(best.withColumnRenamed("g", "used"), "used")
     judged = stats.withColumn("g", g).withColumns(dict(zip(Z, _transformed(), strict=True))).join(best, "g", "left")
     distance = F.when(F.col("mean").isNotNull(), _distance() / F.col("factor"))
     judged = judged.withColumn("distance", distance)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
     return judged.select("doc_id", "lang", "source", "n_words", *STATS, "base_failed", kept.alias("kept"), "distance")

@@ -147,6 +147,26 @@ def test_outliers_are_rejected(docs_of, odd_docs, no_docs):
     assert outliers.reject_outliers(no_docs).count() == 0
 
 
+def test_outliers_of_rare_sources(docs_of):
+    """Rows of small groups and small languages are judged by the wider estimates."""
+    random.seed(12)
+
+    def text(word):
+        return " ".join(word() + str(random.random()) for _ in range(random.randint(60, 200)))
+
+    def plain():
+        return "x" * random.randint(2, 8)
+
+    rows = [(i, text(plain), "en", f"site{i % 60}") for i in range(300)]
+    rows += [(1000 + i, text(lambda: "y#$" * 9), "en", f"site{i}") for i in range(20)]
+    rows += [(2000, text(plain), "xx", "rare"), (2001, text(lambda: "y#$" * 9), "xx", "rare"), (2002, text(lambda: "y#$" * 9), None, None)]
+    got = {r.doc_id: r for r in outliers.reject_outliers(docs_of(rows)).collect()}
+    assert all(r.distance is not None for r in got.values())
+    assert {i for i, r in got.items() if r.kept} == {*range(300), 2000}
+    few = outliers.reject_outliers(docs_of(rows[:5])).collect()
+    assert all(r.kept and r.distance is not None for r in few)
+
+
 def brute_links(rows, limit=0.8):
     sets = {}
     for i, t in rows:
