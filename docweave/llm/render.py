@@ -23,14 +23,29 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+_HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
+#: Unlike display, children can set it back.
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\s*(?:!important\s*)?(?=;|$)", re.I)
+#: A slash that ends a tag, not an unquoted value.
+_CLOSED = re.compile(r"(?<![^\s\"'/])/$|(?:^|\s)[^\s=]*/$")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to the end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Never shown by a browser that runs scripts.
 UNSEEN = frozenset(
-    "head script style template noscript title iframe noembed noframes object svg math canvas audio video datalist select".split()
+    "head script style template noscript title iframe noembed noframes object canvas audio video datalist".split()
+)
+#: Inside of SVG and MathML: never shown in their place.
+UNSEEN_IN = {
+    "svg": frozenset("desc metadata defs symbol clippath mask marker pattern filter lineargradient radialgradient".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+#: Elements of MathML and SVG that hold HTML, and tags of HTML that end SVG and MathML.
+HOLDS_HTML = frozenset("foreignobject mi mo mn ms mtext".split())
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby "
+    "s small span strong strike sub sup table tt u ul var".split()
 )
 HEAD_PARTS = frozenset("title base link meta style script noscript template".split())
 #: Blocks with an empty line around them, and blocks without.
@@ -157,11 +172,16 @@ class Table:
 
 
 class Element:
-    __slots__ = ("tag", "hidden", "pre", "box", "table", "kind", "number", "marker", "spans")
+    __slots__ = ("tag", "hidden", "veiled", "foreign", "mute", "pre", "box", "table", "kind", "number", "marker", "spans", "options", "listed", "chosen", "label")
 
     def __init__(self, tag: str, parent: Element | None):
         self.tag = tag
         self.hidden = parent.hidden if parent else False
+        self.veiled = parent.veiled if parent else False  # takes its place without being seen
+        self.foreign = parent.foreign if parent else ""
+        self.mute = parent.mute if parent else False  # SVG shows the characters of its texts only
+        self.options: list[tuple[bool, bool, str]] = parent.options if parent else []
+        self.listed, self.chosen, self.label = False, False, ""
         self.pre = parent.pre if parent else False
         self.box = parent.box if parent else Box()
         self.table = parent.table if parent else None
@@ -198,11 +218,26 @@ class Renderer:
         parent = self.stack[-1]
         if e.hidden:
             return
+        if e.tag == "option" and e.box is not parent.box:
+            e.options.append((e.chosen, False, e.label or " ".join(e.box.finish())))
+            return
+        if e.tag == "optgroup" and e.options is parent.options and e.box is parent.box and e.kind == "optgroup":
+            return
+        if e.tag == "select":
+            # A list shows all of its options, a closed menu the last selected or the first one.
+            shown = [o for o in e.options if e.listed or not o[1]]
+            if not e.listed:
+                shown = ([o for o in shown if o[0]] or shown[:1])[-1:]
+            for _, _, text in shown:
+                parent.box.text(f" {text} ", False)
+            return
+        if e.tag in ("text", "foreignobject") and parent.mute:
+            parent.box.text(" ", False)
         if e.tag == "li" or e.tag in ("dd", "blockquote"):
             lines = e.box.finish()
             if e.tag == "li":
-                lines = [(e.marker if k == 0 else " " * len(e.marker) if x else "") + x for k, x in enumerate(lines or [""])]
-                lines[0] = lines[0].rstrip(" ")
+                lines = [(e.marker if k == 0 else " " * len(e.marker) if x else "") + x for k, x in enumerate(lines or ([""] if e.marker else []))]
+                lines[:1] = [x.rstrip(" ") for x in lines[:1]]
             else:
                 lines = ["  " + x if x else x for x in lines]
             parent.box.block(0)
@@ -243,6 +278,12 @@ class Renderer:
             tag = "img"
         if self.top.tag == "head" and tag not in HEAD_PARTS:
             self.pop()
+        while self.top.foreign and tag in ENDS_FOREIGN:
+            self.pop()
+        if tag in ("select", "input", "textarea") and any(x.tag == "select" for x in self.stack):
+            self.end_until(frozenset(["select"]), frozenset())
+            if tag == "select":
+                return None
         if tag == "head" and len(self.stack) > 1 or tag == "body" and any(x.tag == "body" for x in self.stack):
             return None
         if tag in ENDS_P and any(x.tag == "p" for x in self.stack):
@@ -256,13 +297,24 @@ class Renderer:
                 self.start("tr", "")
         names = _attributes(raw) if raw and not raw.isspace() else {}
         e = Element(tag, self.top)
-        hides = tag in UNSEEN or "hidden" in names or bool("style" in names and _HIDING.search(names["style"])) or tag == "dialog" and "open" not in names
+        style = names.get("style", "")
+        hides = tag in UNSEEN or "hidden" in names or bool(style and _HIDING.search(style)) or tag == "dialog" and "open" not in names
+        hides = hides or tag in UNSEEN_IN.get(e.foreign, ())
         if hides and not e.hidden:
             e.hidden = True
             self.counts["hidden"] += 1
+        if style and (seen := _VISIBILITY.findall(style)):
+            e.veiled = seen[-1].lower() in ("hidden", "collapse")
+            self.counts["hidden"] += e.veiled and not self.top.veiled and not e.hidden
+        if tag in ("svg", "math"):
+            e.foreign, e.mute = tag, tag == "svg"
+        elif e.foreign and tag in HOLDS_HTML:
+            e.mute, e.foreign = False, ""
+        elif e.foreign and tag == "text":
+            e.mute = False
         if not e.hidden:
             self.enter(e, names)
-        if tag in VOID:
+        if tag in VOID or e.foreign and _CLOSED.search(raw):
             return None
         self.stack.append(e)
         return e
@@ -271,6 +323,17 @@ class Renderer:
         tag, box = e.tag, self.top.box
         if tag == "br":
             box.end_line(True)
+        elif tag == "select":
+            e.box, e.pre, e.options = Box(), False, []
+            e.listed = "multiple" in names or _whole(names.get("size"), 1, 0, 10**6) > 1
+        elif tag == "option" and any(x.tag == "select" for x in self.stack):
+            e.box, e.chosen, e.label = Box(), "selected" in names, "" if e.veiled else names.get("label", "")
+        elif tag == "optgroup" and any(x.tag == "select" for x in self.stack):
+            e.kind = "optgroup"
+            if names.get("label") and not e.veiled:
+                e.options.append((False, True, names["label"]))
+        elif tag in ("text", "foreignobject") and self.top.mute:
+            box.text(" ", False)
         elif tag == "tr":
             if e.table is not None:
                 e.table.row()
@@ -296,6 +359,8 @@ class Renderer:
                     e.marker = f"{around.number}. "
                 else:
                     e.marker = "- "
+                if e.veiled:
+                    e.marker = ""
                 e.box = Box()
             elif tag in ("dd", "blockquote"):
                 e.box = Box()
@@ -327,7 +392,7 @@ class Renderer:
         if top.tag == "head" and raw.strip():
             self.pop()
             top = self.top
-        if top.hidden:
+        if top.hidden or top.veiled or top.mute:
             return
         text = html.unescape(raw) if "&" in raw else raw
         box = top.box

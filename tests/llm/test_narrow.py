@@ -183,6 +183,22 @@ def test_render_broken(page, text):
     assert render.render(page)[0] == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then", "If x=2 then"),
+    ("<math><semantics><mi>y</mi><annotation>tex</annotation></semantics></math>!", "y!"),
+    ("a<svg><title>no</title><title/><defs><text>no</text></defs><g>no<text x=1>one</text><path d='z'/><text>t<tspan>wo</tspan></text></g></svg>b", "a one two b"),
+    ("<svg><rect style='display:none'/><text>x</text><foreignObject><div>in</div></foreignObject></svg>", "x\nin"),
+    ("<svg><text>x<p>out", "x\n\nout"), ("<svg><a href=q/><text>x</text></a></svg>y", "x y"),
+    ("a<select><option>one<option selected>two<option>three</select>b", "a two b"), ("<select><option>one<option>two</select>", "one"),
+    ("<select multiple><optgroup label=g><option>one<option label=zwei>two</select>.", "g one zwei ."),
+    ("<select><option>one<select>x", "one x"), ("<select><option>a</select><select><option>b</select>", "a b"),
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes <b>too</b></p>no</div>end", "yes too\n\nend"),
+    ("<ul><li style='visibility:hidden'>no<li>b</ul>", "- b"), ("<div style='display:none'>no<p style='visibility:visible'>no", ""),
+])
+def test_render_shows_all_visible_text(page, text):
+    assert render.render(page)[0] == text
+
+
 def test_render_deep_and_rows(spark):
     deep = "<div>" * 50000 + "x"
     rows = spark.createDataFrame([(1, "u", deep), (None, None, None), (2, None, "<p>é</p>")], "page_id long, url string, html string")
