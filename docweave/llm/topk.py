@@ -24,9 +24,11 @@ LARGEST = 1 << 27
 
 def quantised(vectors: DataFrame) -> DataFrame:
     """(vec_id, ints): floor(256 * x). Rows without an id, with null, empty or non-finite
-    vectors or components beyond ``LARGEST`` take no part; repeated rows count once."""
-    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * 256))
-    sound = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < LARGEST / 256))
+    vectors take no part; repeated rows count once. Components beyond ``LARGEST`` are an
+    error: their scores may not fit a long, and dropping rows would change the results."""
+    beyond = F.raise_error(F.lit(f"op2: a component of {LARGEST >> 8} or more in size; scale the vectors")).cast("long")
+    x = F.transform("embedding", lambda c: F.when(F.abs(c.cast("double")) < LARGEST / 256, F.floor(c.cast("double") * 256)).otherwise(beyond))
+    sound = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & sound)
     return rows.select(F.col("vec_id").cast("long"), x.alias("ints")).distinct()
 

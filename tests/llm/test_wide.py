@@ -79,6 +79,14 @@ def test_top_k_equals_brute_force(spark, block):
     assert topk.top_k(none, none).count() == 0
 
 
+def test_vectors_too_large_for_scores_are_an_error(spark):
+    rows = [(1, [1.0, 2.0]), (2, [float("inf"), 0.0]), (3, [0.0, 600000.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in topk.quantised(df.where("vec_id < 3")).collect()] == [1]
+    with pytest.raises(Exception, match="scale the vectors"):
+        topk.quantised(df).collect()
+
+
 def test_bounds_are_upper_bounds():
     rng = np.random.default_rng(2)
     q, x = rng.integers(-300, 300, (20, 64)).astype(float), rng.integers(-300, 300, (50, 64)).astype(float)
