@@ -181,3 +181,12 @@ def map_groups(
 def to_batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
     arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+#: Bytes of UTF-8 texts: A-Z to lower case, other ASCII than letters and digits to blanks.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def lowered(text: str | None) -> bytes:
+    """A text as bytes, byte by byte in lower case; words stand between blanks."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER)

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+from docweave.llm.alignment import align
 from docweave.llm.chosen_path import near_duplicates
 from docweave.llm.classifier import classify
 from docweave.llm.common import table
+from docweave.llm.decontamination import WIDTH, find_contamination
 from docweave.llm.mixing import BUCKETS, MOST_COPIES, SEED, mix
 from docweave.llm.notices import scan_licenses
 from docweave.llm.outliers import reject_outliers
 from docweave.llm.pieces import encode_n_best
 from docweave.llm.render import render_pages
+from docweave.llm.resampling import BUCKETS as CRC_BUCKETS
+from docweave.llm.resampling import SEED as DRAW_SEED
+from docweave.llm.resampling import resample
 from docweave.llm.substrings import remove_repeats
 from docweave.llm.topk import quantised, top_k
 from docweave.llm.warc import archive_pages
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_warc(spark, sf_dir):
@@ -64,6 +72,22 @@ def op10_fuzzy_notices(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_interval_alignment(spark, sf_dir, byte_bpe=BYTE_BPE, piece_model=PIECE_MODEL):
+    # Vocabulary files of fixed size, read by the driver and sent to the tasks.
+    files = [Path(path).read_bytes() for path in (byte_bpe, piece_model)]
+    return align(table(spark, sf_dir, "documents"), *files)
+
+
+def op12_head_tail_resampling(spark, sf_dir):
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_window_decontamination(spark, sf_dir):
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
@@ -180,6 +204,63 @@ WITH w AS (
 SELECT doc_id, n_words, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept LEFT JOIN text USING (doc_id)
 """
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+# CRC-32 byte by byte: a table of 256 entries from the reflected polynomial, then one step a byte.
+RESAMPLE_SQL = f"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) r(i)
+  )
+), d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT {_WORDS} AS ws FROM benchmark),
+words AS (
+  SELECT 0 AS side, unnest(ws) AS word FROM d UNION ALL SELECT 1, unnest(ws) FROM b
+), vocabulary AS (
+  SELECT word, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM words GROUP BY word
+), spelt AS (
+  SELECT *, list_transform(range(1, length(hex(word)) // 2 + 1), lambda p: ('0x' || substr(hex(word), (2 * p - 1)::INTEGER, 2))::BIGINT) AS bytes FROM vocabulary
+), hashed AS (
+  SELECT word, s, t, xor(list_reduce(bytes, lambda a, x: xor(a // 256, crc.steps[xor(a % 256, x) + 1]), 4294967295), 4294967295) % {CRC_BUCKETS} AS bucket FROM spelt, crc
+), sums AS (
+  SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t, sum(sum(s)) OVER ()::DOUBLE AS n, sum(sum(t)) OVER ()::DOUBLE AS m FROM hashed GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (n + {CRC_BUCKETS}) / ((s + 1) * (m + {CRC_BUCKETS}))))::BIGINT AS gain FROM sums
+), of_word AS (SELECT word, gain FROM hashed JOIN gain USING (bucket)),
+keyed AS (SELECT row_number() OVER () AS r, doc_id, ws FROM d),
+weights AS (
+  SELECT r, sum(gain)::BIGINT AS weight FROM (SELECT r, unnest(ws) AS word FROM keyed) JOIN of_word USING (word) GROUP BY r
+), scored AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('{DRAW_SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT::DOUBLE AS h
+  FROM keyed LEFT JOIN weights USING (r)
+), noisy AS (
+  SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM noisy
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM placed
+"""
+
+LEAK_SQL = f"""
+WITH b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_WORDS} AS ws FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+g AS (
+  SELECT DISTINCT item, least(len(ws), {WIDTH}) AS n, unnest(list_transform(range(1, greatest(len(ws) - {WIDTH - 2}, 2)), lambda p: array_to_string(ws[p : p + {WIDTH - 1}], ' '))) AS w
+  FROM b WHERE len(ws) > 0
+), sizes AS (SELECT DISTINCT n FROM g),
+x AS (
+  SELECT r, n, unnest(range(1, len(ws) - n + 2)) AS p, unnest(list_transform(range(1, len(ws) - n + 2), lambda p: array_to_string(ws[p : p + n - 1], ' '))) AS w
+  FROM d, sizes WHERE len(ws) >= n
+), h AS (SELECT DISTINCT r, x.n, p, item FROM x JOIN g ON x.w = g.w AND x.n = g.n),
+places AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS p FROM (SELECT DISTINCT r, n, p FROM h)) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM h GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
+"""
+
 QUERIES = {
     "op1_warc": (op1_warc, WARC_SQL),
     "op2_segment_topk": (op2_segment_topk, TOPK_SQL),
@@ -191,4 +272,7 @@ QUERIES = {
     "op8_doubling_dedup": (op8_doubling_dedup, DEDUP_SQL),
     "op9_layout_render": (op9_layout_render, None),
     "op10_fuzzy_notices": (op10_fuzzy_notices, None),
+    "op11_interval_alignment": (op11_interval_alignment, None),
+    "op12_head_tail_resampling": (op12_head_tail_resampling, RESAMPLE_SQL),
+    "op13_window_decontamination": (op13_window_decontamination, LEAK_SQL),
 }
