@@ -20,6 +20,8 @@ def build_session(app_name: str = "docweave", cores: str | int = "*") -> SparkSe
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Custom stream processors keep their state here.
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -80,8 +82,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def at_most(df: DataFrame, bound: int) -> bool:
-    """True when ``df`` has no more than ``bound`` rows; stops after bound + 1."""
-    return df.limit(bound + 1).count() <= bound

@@ -1,8 +1,11 @@
 """Vector recall, reranking, paths and answers."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from docweave.operators import answers as A
+from docweave.operators import neighbors as N
 from docweave.operators import retrieval as R
 from test_graph import support_graph
 from docweave.operators import projection as P
@@ -14,19 +17,56 @@ def vectors(spark, n, dim, seed, column):
     return data, spark.createDataFrame(rows, f"{column} bigint, embedding array<float>")
 
 
-def test_topk_both_routes(spark, monkeypatch):
-    q, queries = vectors(spark, 7, 3, 1, "query_id")
-    c, chunks = vectors(spark, 90, 3, 2, "chunk_id")
-    unit = lambda m: m.astype("float32").astype("float64") / np.linalg.norm(m.astype("float32").astype("float64"), axis=1, keepdims=True)
+def best_by_hand(q, c, k):
+    def unit(m):
+        m = m.astype("float32").astype("float64")
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
     scores = np.round(unit(q) @ unit(c).T, 12)
-    want = {(i, j): r for i in range(7) for r, j in enumerate(sorted(range(90), key=lambda j: (-scores[i, j], j))[:4], 1)}
-    sent = R.vector_topk(queries, chunks.repartition(5), 4).collect()
-    monkeypatch.setattr(R, "SENT_QUERIES", 3)
-    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(R, "CHUNK_BLOCK", 40)
-    tiled = R.vector_topk(queries, chunks, 4).collect()
-    for rows in (sent, tiled):
-        assert {(r.query_id, r.chunk_id): r["rank"] for r in rows} == want
+    return {(i, j): r for i in range(len(q)) for r, j in enumerate(sorted(range(len(c)), key=lambda j: (-scores[i, j], j))[:k], 1)}
+
+
+@pytest.mark.parametrize("cell_rows, block_floats, query_rows", [(1000, 1 << 20, 1024), (6, 1 << 20, 3), (6, 1, 1024)])
+def test_exact_topk_by_cells(spark, monkeypatch, cell_rows, block_floats, query_rows):
+    """One cell, many cells, and cells in blocks give the same rows, ties and zero vectors included."""
+    monkeypatch.setattr(N, "BLOCK_FLOATS", block_floats)
+    monkeypatch.setattr(N, "QUERY_ROWS", query_rows)
+    q, queries = vectors(spark, 9, 3, 1, "query_id")
+    c, chunks = vectors(spark, 300, 3, 2, "chunk_id")
+    c[7], c[8], c[20:60] = 0, c[9], c[61]
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(c)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>").repartition(5)
+    got = R.vector_topk(queries, chunks, 4, cell_rows=cell_rows).collect()
+    assert {(r.query_id, r.chunk_id): r["rank"] for r in got} == best_by_hand(q, c, 4)
+
+
+def test_exact_search_opens_few_cells(spark):
+    """Clustered vectors: bounds refuse most blocks, and probing a few cells finds nearly all."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(24, 16)) * 4
+    data = centers[rng.integers(0, 24, 3000)] + rng.normal(size=(3000, 16)) * 0.3
+    chunks = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(data)], "chunk_id bigint, embedding array<float>")
+    queries = chunks.where("chunk_id % 30 = 0").withColumnRenamed("chunk_id", "query_id")
+    index = N.build_index(chunks, 16, 64)
+    assert len(index.cells.centroids) == 46 and int(index.cells.sizes.sum()) == 3000
+    exact = N.search_index(queries, index, 5)
+    assert {(r.query_id // 30, r.chunk_id): r["rank"] for r in exact.collect()} == best_by_hand(data[::30], data, 5)
+    least = exact.where("rank = 5").select("query_id", F.col("score").alias("least"))
+    opened = N._opened(queries.join(least, "query_id").select("query_id", "embedding", "least"), index.cells, 2, 5, True)
+    assert opened.count() < 0.2 * 100 * int((index.cells.parts > 0).sum())
+    recall = N.measured_recall(N.search_index(queries, index, 5, probes=4, exact=False), exact).first().recall
+    assert recall >= 0.95
+
+
+def test_unsound_vectors_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, None), (3, []), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 0.0]), (7, [1.0, 1.0, 0.0]), (8, [0.0, 2.0]), (None, [3.0, 4.0]), (9, [1e38, 1e38])]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>")
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0, 5.0]), (3, [nan]), (4, None)], "query_id bigint, embedding array<float>")
+    got = {(r.query_id, r.chunk_id): round(r.score, 6) for r in R.vector_topk(queries, chunks, 9).collect()}
+    assert got == {(1, 1): 1.0, (1, 8): 0.0, (1, 9): 0.707107, (2, 7): 0.0}
+    assert R.vector_topk(queries.limit(0), chunks, 3).count() == 0 == R.vector_topk(queries, chunks.limit(0), 3).count()
 
 
 def test_rerank_falls_back(spark):

@@ -68,10 +68,67 @@ def test_stream_equals_batch(spark, tmp_path):
     once = drain(spark, S.dedup_replay_stream(stream), "once", "append", tmp_path)
     assert sorted((r.run_id, r.seq) for r in once.collect()) == sorted((e[0], e[1]) for e in EVENTS)
     deduped = spark.createDataFrame(EVENTS, EVENT)
-    live = drain(spark, S.run_state_stream(stream), "live", "complete", tmp_path)
-    batch = E.run_state(deduped)
-    keep = ["run_id", "status", "current_stage", "created_at"]
-    assert sorted(live.select(keep).collect()) == sorted(batch.select(keep).collect())
+    live = drain(spark, S.run_state_stream(stream), "live", "update", tmp_path)
+    last = {r.run_id: r for r in live.collect()}  # rows of a run come in order
+    batch = E.run_state(deduped.union(spark.createDataFrame(EVENTS[:2], EVENT)))
+    keep = ["run_id", "status", "current_stage", "event_count", "created_at"]
+    assert sorted(tuple(r[c] for c in keep) for r in last.values()) == sorted(map(tuple, batch.select(keep).collect()))
+    assert not any(r.evicted for r in last.values())
+
+
+def test_nothing_follows_the_first_terminal_event(spark, tmp_path):
+    """Over several micro-batches and a restart; equal to the batch operators."""
+    rows = [
+        ("a", 1, "x", "running", 1000), ("a", 2, "x", "succeeded", 1100), ("a", 3, "x", "failed", 1200), ("b", 1, "x", "running", 1300),
+        ("a", 4, "x", "succeeded", 1400), ("b", 2, "x", "running", 1450), ("c", 2, "x", "failed", 1500), ("c", 1, "x", "running", 1460),
+    ]
+    more = [("a", 5, "x", "running", 1600), ("b", 3, "x", "failed", 1700), ("b", 4, "x", "succeeded", 1800), ("c", 3, "x", "succeeded", 1900)]
+    source(spark, tmp_path, rows)
+    names, found = ("terminal", "open"), {}
+    for part in (rows, more):
+        if part is more:
+            source(spark, tmp_path, more)
+        stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "events"))
+        for name, df in zip(names, (S.terminal_stream(stream), S.open_events_stream(stream))):
+            # The memory sink starts anew after a restart, the state does not.
+            out = tmp_path / f"out_{name}"
+            query = df.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start()
+            query.awaitTermination(120)
+            found[name] = sorted(tuple(r[c] for c in ("run_id", "seq", "status")) for r in spark.read.schema(EVENT).parquet(str(out)).collect())
+    batch = spark.createDataFrame(rows + more, EVENT)
+    want = {"terminal": E.terminal_events(batch), "open": E.open_stream(batch)}
+    assert found == {n: sorted(tuple(r) for r in df.select("run_id", "seq", "status").collect()) for n, df in want.items()}
+
+
+def test_state_stays_flat(spark, tmp_path):
+    """A hundred micro-batches of new runs: idle and closed runs leave, and say so."""
+    path = str(tmp_path / "events")
+    schema = EVENT + ", completed bigint, total bigint"
+    for i in range(100):
+        rows = [(f"r{i}", 1, "x", "running", 1000 * i, i, 9), (f"r{i}", 2, "y", "succeeded", 1000 * i + 1, i, None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        streams = {"state": S.run_state_stream(stream, 5000), "done": S.terminal_stream(stream, 5000), "steps": S.progress_stream(stream, 5000)}
+        queries = {
+            name: df.writeStream.format("memory").queryName(f"flat_{name}").outputMode("append" if name == "done" else "update")
+            .option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start()
+            for name, df in streams.items()
+        }
+        for query in queries.values():
+            query.awaitTermination(300)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for name, query in queries.items():
+        sizes = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+        assert len(sizes) >= 90 and max(sizes) <= 60 and max(sizes[50:]) <= max(sizes[:50]), (name, sizes)
+    rows = spark.table("flat_state").collect()
+    gone = [r.run_id for r in rows if r.evicted]
+    assert len(gone) == len(set(gone)) > 80 and all(r.status == "succeeded" and r.event_count == 2 for r in rows)
+    assert sorted(r.run_id for r in spark.table("flat_done").collect()) == sorted(f"r{i}" for i in range(100))
+    assert {(r.run_id, r.completed, r.total) for r in spark.table("flat_steps").collect()} == {(f"r{i}", i, 9) for i in range(100)}
 
 
 def test_finished_runs_expire_on_the_stream(spark, tmp_path):
