@@ -12,7 +12,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,12 @@ from docweave.llm.common import map_groups, worker_cache
 from docweave.session import store
 
 #: Links of one block, and bytes of text that are tokenised at once; single documents may be longer.
-BLOCK_LINKS, SLICE_BYTES = 1 << 20, 1 << 21
+BLOCK_LINKS, SLICE_BYTES = 1 << 20, 1 << 19
+#: Distinct units that a Python worker remembers with their ids, and their characters in all.
+MEMO_UNITS, MEMO_CHARS = 1 << 18, 1 << 22
+#: A space between two characters that are surely no white space: both tokenizers cut before it.
+_SOLID = r"[^\s\x00-\x20\x7F-\xBF\u180E\u200B-\u200F\u2060\uFEFF]"
+_EDGE = re.compile(f"(?<={_SOLID}) (?={_SOLID})")
 _LOW = (1 << 32) - 1
 
 
@@ -61,23 +69,63 @@ class TokenPair:
         self.size_a, self.size_b = (np.array([len(t) for t in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         # An id with what follows it in a group list: A id in a group, last A id, B id in a group, last B id.
         self.shown = [f"{i}{c}".encode() for v, c in ((self.bytes_a, ","), (self.bytes_a, "|"), (self.bytes_b, ","), (self.bytes_b, ";")) for i in range(len(v))]
+        # No token of A spans an edge before a single space, and none of B unless a piece has the mark inside.
+        apart = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(len(self.bytes_b)))
+        self.split = _EDGE.split if apart else (lambda text: [text])
+        self._forget()
         n = len(self.bytes_a)
         self.base = np.array([[0, n], [2 * n, 2 * n + len(self.bytes_b)]])
 
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of ``space + text`` by A and of ``text`` by B, which adds the space itself.
-        Both lists are empty for null and empty texts and where the bytes of one of them differ."""
-        known = [i for i, t in enumerate(texts) if t]
-        spaced = [" " + texts[i] for i in known]
-        ids_a, ids_b = [[] for _ in texts], [[] for _ in texts]
-        if known:
-            first = self.a.encode_batch_fast(spaced, add_special_tokens=False)
-            second = self.b.encode([texts[i] for i in known], num_threads=1)
-            for i, text, x, y in zip(known, spaced, first, second, strict=True):
-                data, x = text.encode(), x.ids
-                if b"".join(map(self.bytes_a.__getitem__, x)) == data == b"".join(map(self.bytes_b.__getitem__, y)):
-                    ids_a[i], ids_b[i] = x, y
-        return ids_a, ids_b
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A ids, their bounds per text, B ids, their bounds) of ``space + text`` by A and of
+        ``text`` by B, which adds the space itself.
+
+        Texts are encoded unit by unit; each distinct unit is encoded once while it is remembered.
+        Null and empty texts, and those that a tokenizer changes, have no ids.
+        """
+        if len(self.codes) > MEMO_UNITS or self.chars > MEMO_CHARS:
+            self._forget()
+        units = [self.split(t) if t else () for t in texts]
+        new = list({u for us in units for u in us if u not in self.codes})
+        if new:
+            self._learn(new)
+        code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(units)), np.int64, sum(map(len, units)))
+        at = np.cumsum([0] + [len(us) for us in units])
+        wrong = np.concatenate([[0], np.cumsum(~np.frombuffer(self.valid, bool)[code])])
+        sound = np.diff(wrong[at]) == 0
+        code = code[np.repeat(sound, np.diff(at))]
+        at = np.concatenate([[0], np.cumsum(np.diff(at) * sound)])
+        out = []
+        for held, ends in zip(self.flat, self.ends, strict=True):
+            end = np.array(ends, np.int64)
+            many = np.diff(end)[code]
+            before = np.concatenate([[0], np.cumsum(many)])
+            take = np.arange(before[-1]) + np.repeat(end[code] - before[:-1], many)
+            out += [np.frombuffer(held, np.int32)[take].astype(np.int64), before[at]]
+        return tuple(out)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode units, and note which keep their bytes in both tokenizers."""
+        spaced = [" " + u for u in new]
+        lists = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)], self.b.encode(new, num_threads=1)
+        data = [u.encode() for u in spaced]
+        size, sound = np.fromiter(map(len, data), np.int64, len(data)), np.ones(len(data), bool)
+        for k, (ids, table, sizes) in enumerate(zip(lists, (self.bytes_a, self.bytes_b), (self.size_a, self.size_b), strict=True)):
+            flat, many = array("i", chain.from_iterable(ids)), np.fromiter(map(len, ids), np.int64, len(ids))
+            end = np.cumsum(many)
+            total = np.concatenate([[0], np.cumsum(sizes[np.frombuffer(flat, np.int32)])])[np.concatenate([[0], end])]
+            if (np.diff(total) != size).any() or b"".join(map(table.__getitem__, flat)) != b"".join(data):
+                sound &= [b"".join(map(table.__getitem__, x)) == d for x, d in zip(ids, data, strict=True)]
+            self.ends[k].extend((end + len(self.flat[k])).tolist())
+            self.flat[k].extend(flat)
+        self.valid.extend(sound.tobytes())
+        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
+        self.chars += sum(map(len, new))
+
+    def _forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.chars, self.valid = 0, bytearray()
+        self.flat, self.ends = (array("i"), array("i")), (array("q", [0]), array("q", [0]))
 
 
 def token_pair(byte_bpe: bytes, piece_model: bytes) -> TokenPair:
@@ -89,20 +137,15 @@ def token_pair(byte_bpe: bytes, piece_model: bytes) -> TokenPair:
     return held[key]
 
 
-def _flat(lists: list[list[int]]) -> np.ndarray:
-    return np.fromiter((x for ids in lists for x in ids), np.int64, sum(map(len, lists)))
-
-
-def coalesce(ids_a: list[list[int]], ids_b: list[list[int]], pair: TokenPair) -> dict:
-    """Groups and links of a slice of documents.
+def coalesce(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, pair: TokenPair) -> dict:
+    """Groups and links of a slice of documents, given as ``TokenPair.encode`` returns them.
 
     ``n_groups`` and ``n_links`` per document; ``links`` as a id << 32 | b id in order of
     (document, A token, B token); ``codes`` index ``pair.shown`` in the order of the group
     list, ``at`` bounds those of each document; ``sizes`` has A and B tokens of every group.
     """
-    n = len(ids_a)
-    a, b = _flat(ids_a), _flat(ids_b)
-    doc = np.concatenate([np.repeat(np.arange(n), [len(x) for x in ids]) for ids in (ids_a, ids_b)])
+    n = len(at_a) - 1
+    doc = np.concatenate([np.repeat(np.arange(n), np.diff(at)) for at in (at_a, at_b)])
     # The documents' bytes follow each other, the same for A and B, so no group passes an edge.
     ends = [np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])]
     starts = [ends[0] - pair.size_a[a], ends[1] - pair.size_b[b]]
@@ -125,19 +168,18 @@ def coalesce(ids_a: list[list[int]], ids_b: list[list[int]], pair: TokenPair) ->
     before = np.concatenate([[0], np.cumsum(many)])
     of_b = np.arange(before[-1]) - np.repeat(before[:-1] - low, many)
     links = np.repeat(a << 32, many) | b[of_b]
-    bounds = np.cumsum([0] + [len(x) for x in ids_a])
     total = int(group[-1]) + 1 if len(group) else 0
     sizes = [np.bincount(group[kinds == k], minlength=total) for k in (0, 1)]
-    return {"n_groups": n_groups, "n_links": np.diff(before[bounds]), "links": links, "codes": codes, "at": at, "sizes": sizes}
+    return {"n_groups": n_groups, "n_links": np.diff(before[at_a]), "links": links, "codes": codes, "at": at, "sizes": sizes}
 
 
 def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     """(ids, texts) of about ``SLICE_BYTES``."""
     ids, texts, held = [], [], 0
     for batch in batches:
-        for i in range(batch.num_rows):
-            text = batch.column(1)[i].as_py()
-            ids.append(batch.column(0)[i].as_py())
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py()
+            ids.append(doc_id)
             texts.append(text)
             held += len(text or "")
             if held >= SLICE_BYTES or len(ids) >= 4000:
@@ -181,19 +223,20 @@ def _blocks(docs: DataFrame, files: tuple, detail: bool, block_links: int) -> Da
                 yield pa.RecordBatch.from_arrays(some, schema=schema)
 
         for ids, texts in _text_slices(batches):
-            ids_a, ids_b = pair.encode(texts)
-            got = coalesce(ids_a, ids_b, pair)
+            a, at_a, b, at_b = pair.encode(texts)
+            got = coalesce(a, at_a, b, at_b, pair)
+            n_a, n_b = np.diff(at_a).tolist(), np.diff(at_b).tolist()
             at, codes = got["at"].tolist(), got["codes"].tolist()
             first = np.concatenate([[0], np.cumsum(got["n_groups"])])
             for i, doc_id in enumerate(ids):
                 listed = b"".join(map(pair.shown.__getitem__, codes[at[i] : at[i + 1]]))[:-1]
                 values = {
-                    "doc_id": doc_id, "n_a": len(ids_a[i]), "n_b": len(ids_b[i]), "n_groups": int(got["n_groups"][i]), "n_links": int(got["n_links"][i]),
+                    "doc_id": doc_id, "n_a": n_a[i], "n_b": n_b[i], "n_groups": int(got["n_groups"][i]), "n_links": int(got["n_links"][i]),
                     "groups_sha256": hashlib.sha256(listed).hexdigest() if listed else "",
                 }
                 if detail:
                     in_group = (s[first[i] : first[i + 1]] for s in got["sizes"])
-                    values |= dict(zip(("a_in_group", "b_in_group"), in_group, strict=True)) | {"a_ids": ids_a[i], "b_ids": ids_b[i]}
+                    values |= dict(zip(("a_in_group", "b_in_group"), in_group, strict=True)) | {"a_ids": a[at_a[i] : at_a[i + 1]], "b_ids": b[at_b[i] : at_b[i + 1]]}
                 rows.append(values)
             links.append(got["links"])
             held += len(got["links"])

@@ -68,10 +68,23 @@ def _texts(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names, F.col("text").cast("string").alias("text"))
 
 
-def _frequent(df: DataFrame, gram: str, most: int) -> list[bytes]:
-    """The ``most`` most frequent grams; ``df`` has (gram, n) with partial counts."""
-    counts = df.groupBy(gram).agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in counts.orderBy(F.desc("n"), gram).limit(most).collect()]
+def _frequent(df: DataFrame, most: int) -> list[bytes]:
+    """The ``most`` most frequent grams; ``df`` has (gram, n) with partial counts.
+
+    A histogram of the counts by powers of two cuts off all grams that cannot be among them,
+    so that tasks do not each send their own ``most`` to the driver.
+    """
+    if most < 1:
+        return []
+    counts = store(df.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    power = F.length(F.bin("n"))
+    sizes = {r.power: r.grams for r in counts.groupBy(power.alias("power")).agg(F.count("*").alias("grams")).collect()}
+    least, held = max(sizes, default=0), 0
+    for p in sorted(sizes, reverse=True):
+        least, held = p, held + sizes[p]
+        if held >= most:
+            break
+    return [bytes(r.gram) for r in counts.where(power >= least).orderBy(F.desc("n"), "gram").limit(most).collect()]
 
 
 def head_vocabulary(docs: DataFrame, n: int = 1, head_words: int = HEAD_WORDS, head_pairs: int = HEAD_PAIRS) -> Head:
@@ -85,7 +98,7 @@ def head_vocabulary(docs: DataFrame, n: int = 1, head_words: int = HEAD_WORDS, h
                 seen.update(lowered(text).split())
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["gram", "n"])
 
-    words = _frequent(texts.mapInArrow(count_words, "gram binary, n bigint"), "gram", head_words)
+    words = _frequent(texts.mapInArrow(count_words, "gram binary, n bigint"), head_words)
     if n < 2 or not words:
         return Head(words, [])
     index = {w: i for i, w in enumerate(words)}
@@ -101,7 +114,7 @@ def head_vocabulary(docs: DataFrame, n: int = 1, head_words: int = HEAD_WORDS, h
             grams = pa.array([b"%d %d" % p for p in seen], pa.binary())
             yield pa.RecordBatch.from_arrays([grams, pa.array(seen.values(), pa.int64())], ["gram", "n"])
 
-    pairs = _frequent(texts.mapInArrow(count_pairs, "gram binary, n bigint"), "gram", head_pairs)
+    pairs = _frequent(texts.mapInArrow(count_pairs, "gram binary, n bigint"), head_pairs)
     return Head(words, [tuple(map(int, p.split())) for p in pairs])
 
 
