@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import slices
+from docweave.llm.common import slices, text_key
 from docweave.session import store
 
 #: (name, bad if the share is at least, good if it is at most); between them no vote.
@@ -88,56 +88,71 @@ def features_of(data: bytes) -> np.ndarray:
     return (h >> np.uint32(16)).astype(np.int64)
 
 
+#: Training texts whose entries are expanded at once.
+CHUNK = 256
+
+
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 60, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer over mean 4-gram weights, by Adagrad steps on the
-    posterior labels. rows: (buckets, shares, posterior of bad)."""
+    posterior labels. rows: (buckets, shares, posterior of bad), kept in their small types;
+    gradients add up over ``CHUNK`` rows at a time."""
     w, b = np.zeros(FEATURES), 0.0
     if not rows:
         return w.astype(np.float32), b
-    at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    index, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(float)
     y = np.array([r[2] for r in rows])
-    weight = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
+    weight = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) / len(rows)
+    chunks = []
+    for i in range(0, len(rows), CHUNK):
+        some = rows[i : i + CHUNK]
+        begin = np.cumsum([0] + [len(r[0]) for r in some])[:-1]
+        chunks.append((slice(i, i + len(some)), np.concatenate([r[0] for r in some]), np.concatenate([r[1] for r in some]), begin))
     seen, seen_b = np.full(FEATURES, 1e-12), 1e-12
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[index] * value, len(rows)) + b, -50, 50)))
-        d = weight * (p - y) / len(rows)
-        g = np.bincount(index, d[at] * value, FEATURES) + l2 * w / len(rows)
+        g, total = l2 * w / len(rows), 0.0
+        for at, index, value, begin in chunks:
+            raw = np.add.reduceat(w[index] * value, begin) + b
+            d = weight[at] * (1 / (1 + np.exp(-np.clip(raw, -50, 50))) - y[at])
+            g += np.bincount(index, np.repeat(d, np.diff([*begin, len(index)])) * value, FEATURES)
+            total += d.sum()
         seen += g * g
-        seen_b += d.sum() ** 2
+        seen_b += total**2
         w -= 2.0 * g / np.sqrt(seen)
-        b -= 0.2 * d.sum() / np.sqrt(seen_b)
+        b -= 0.2 * total / np.sqrt(seen_b)
     return w.astype(np.float32), float(b)
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict[int, float], np.ndarray, float]:
     """(posterior of bad per vote pattern, weights, bias): votes on all texts, EM over the
     counts of their patterns, then the scorer on at most ``train_docs`` labelled rows."""
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("t"))
 
     def vote(batches):
         for batch in slices(batches):
             patterns = [_pattern(votes_of(t or "")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(patterns, pa.int32())], ["doc_id", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(patterns, pa.int32())], ["doc_id", "t", "pattern"])
 
-    voted = store(chosen.mapInArrow(vote, "doc_id bigint, pattern int"), "votes")
+    voted = store(chosen.mapInArrow(vote, "doc_id bigint, t bigint, pattern int"), "votes")
     counts = {r.pattern: r.n for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior, _, _ = fit_labellers(counts)
     labelled = [p for p, q in posterior.items() if q != 0.5]
-    picked = voted.where(F.col("doc_id").isNotNull() & F.col("pattern").isin(labelled or [-1])).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    usable = voted.where(F.col("doc_id").isNotNull() & F.col("pattern").isin(labelled or [-1]))
+    # A row is known by its id and text, so a repeated id sends one row for each of its texts,
+    # and the rows are cut to the bound before any text is fetched.
+    picked = usable.dropDuplicates(["doc_id", "t"]).orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(train_docs)
 
     def shares(batches):
         for batch in slices(batches, 100):
-            out = [np.unique(features_of((t or "").encode("utf-8", "surrogatepass")), return_counts=True) for t in batch.column(2).to_pylist()]
+            out = [np.unique(features_of((t or "").encode("utf-8", "surrogatepass")), return_counts=True) for t in batch.column(3).to_pylist()]
             index = pa.array([i.astype(np.uint16).tobytes() for i, _ in out], pa.binary())
             value = pa.array([(c / c.sum()).astype(np.float32).tobytes() for _, c in out], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), index, value], ["doc_id", "pattern", "buckets", "shares"])
-
-    train = chosen.join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "pattern", "text")
-    train = train.mapInArrow(shares, "doc_id bigint, pattern int, buckets binary, shares binary")
-    rows = [(r.doc_id, np.frombuffer(r.buckets, np.uint16).astype(np.int64), np.frombuffer(r.shares, np.float32), posterior[r.pattern]) for r in train.toLocalIterator()]
-    rows = sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes()))[:train_docs]
-    weights, bias = fit_scorer([r[1:] for r in rows])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], index, value], ["doc_id", "t", "pattern", "buckets", "shares"])
+
+    train = chosen.join(F.broadcast(picked), ["doc_id", "t"]).select("doc_id", "t", "pattern", "text")
+    train = train.groupBy("doc_id", "t", "pattern").agg(F.first("text").alias("text"))  # repeated rows
+    train = train.mapInArrow(shares, "doc_id bigint, t bigint, pattern int, buckets binary, shares binary")
+    rows = [(r.doc_id, r.t, np.frombuffer(r.buckets, np.uint16), np.frombuffer(r.shares, np.float32), posterior[r.pattern]) for r in train.toLocalIterator()]
+    rows = [r[2:] for r in sorted(rows, key=lambda r: r[:2])]
+    weights, bias = fit_scorer(rows)
     return posterior, weights, bias
 
 

@@ -132,10 +132,12 @@ def map_groups(
     schema: pa.Schema,
     ddl: str,
     rows: int = 4000,
+    parts: int | None = None,
 ) -> DataFrame:
     """Apply ``func(key, rows)`` to the rows of each key, streamed from sorted partitions.
 
-    ``func`` returns one list for each output column. Keys hold no nulls. Only one group
+    ``func`` returns one list for each output column. ``parts`` fixes the number of tasks, for
+    small rows that stand for much work. Keys hold no nulls. Only one group
     is held at a time, so callers bound their groups; thousands of small groups share a
     batch, which makes this cheaper than one Arrow stream for each group.
     """
@@ -175,7 +177,8 @@ def map_groups(
         if out[0]:
             yield to_batch(out, schema)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
+    dealt = df.repartition(*keys) if parts is None else df.repartition(parts, *keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, ddl)
 
 
 def to_batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:

@@ -9,7 +9,7 @@ the source's remaining words are taken in this order. All steps are DataFrame op
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.common import WORD
@@ -39,24 +39,27 @@ def water_fill(df: DataFrame, part: list[str], need: str, cap: str, weight: str)
     return leveled.withColumn("fill", F.coalesce(fill, F.col(cap).cast("double"))).drop("level")
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes_of(docs: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame:
+    kept = [F.struct(*carry).alias("_carried")] if carry else []
+    return docs.select(*kept, "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, expected, copies, taken) of every document.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int = MOST_COPIES, seed: str = SEED, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, expected, copies, taken) of every document,
+    after the columns ``carry``.
 
     Null texts have size 0; the null source is one source, ordered last; sources without
     words get target 0. Rows that share an id share their random number and are ordered by
     size; equal rows count one by one. An empty table gives no rows. Only per-source and
     per-bucket sums are ordered in one task; documents are spread over ``BUCKETS`` of ranks.
     """
-    slim = store(sizes_of(docs), "mix-sizes")
+    slim = store(sizes_of(docs, carry), "mix-sizes")
     return mix_sizes(slim, weights, most_copies, seed)
 
 
 def mix_sizes(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
-    """``mix`` over a table (doc_id, source, size)."""
+    """``mix`` over a table (doc_id, source, size), and a struct ``_carried`` that is spread out at the end."""
+    carried = ["_carried"] if "_carried" in slim.columns else []
     # Weight of a document: 1 + the number of binary digits of its size, at most 64 classes.
     classed = slim.withColumn("class", F.length(F.bin("size")).cast("long") + 1)
     by_class = classed.groupBy("source", "class").agg(F.sum("size").alias("class_size"))
@@ -104,6 +107,6 @@ def mix_sizes(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies:
     met = rows.where(crossing).withColumn("upto", F.col("before") + F.sum("size").over(within))
     met = met.withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("left")).cast("long"))
     other = rows.where(~F.coalesce(crossing, F.lit(False))).withColumn("extra", F.coalesce((F.col("before") + F.col("sampled") <= F.col("left")) & (F.col("sampled") > 0), F.lit(False)).cast("long"))
-    shown = ["doc_id", "source", "size", "source_size", "target", "expected", "whole", "extra"]
+    shown = [*carried, "doc_id", "source", "size", "source_size", "target", "expected", "whole", "extra"]
     both = met.select(*shown).unionByName(other.select(*shown)).withColumn("copies", F.col("whole") + F.col("extra"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "expected", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return both.select(*[f"{c}.*" for c in carried], "doc_id", "source", "size", "source_size", "target", "expected", "copies", (F.col("size") * F.col("copies")).alias("taken"))

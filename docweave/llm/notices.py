@@ -2,14 +2,17 @@
 
 A notice with at most k edits, cut into k + 1 pieces, keeps one piece unchanged
 (pigeonhole). An Aho-Corasick automaton finds all pieces in one scan; from each word start
-that fits a hit, edit distances to all word ends come from bit vectors (Hyyrö 2003), so no
-place within the errors is missed.
+that fits a hit, the regex library's bounded-error matching verifies the edits up to the end
+of a word, so no place within the errors is missed.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import ahocorasick
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,29 +65,14 @@ def normal_words(text: str | None) -> bytes:
 
 def places(stream: bytes, phrase: bytes) -> list[int]:
     """Word numbers at which a phrase's words stand one after the other."""
-    out, at = [], stream.find(b" " + phrase + b" ")
+    out, at, number, counted = [], stream.find(b" " + phrase + b" "), 0, 0
     while at >= 0:
-        out.append(stream.count(b" ", 0, at))
+        number, counted = number + stream.count(b" ", counted, at), at
+        out.append(number)
         at = stream.find(b" " + phrase + b" ", at + 1)
     return out
 
 
-def closest(stream: str, start: int, size: int, errors: int, bits: dict[str, int]) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best match of a phrase from ``start`` to the end of a word."""
-    full = (1 << size) - 1
-    plus, minus, edits, best = full, 0, size, None
-    for at in range(start, min(len(stream), start + size + errors)):
-        same = bits.get(stream[at], 0)
-        diagonal = ((((same & plus) + plus) ^ plus) | same | minus) & full
-        up, down = minus | full & ~(plus | diagonal), plus & diagonal
-        edits += (up >> size - 1) - (down >> size - 1)
-        up = (up << 1 | 1) & full
-        plus, minus = (down << 1 | ~(up | diagonal)) & full, up & diagonal
-        if edits <= errors and stream[at] != " " and stream[at + 1 : at + 2] in ("", " ") and (best is None or edits < best[0]):
-            best = (edits, start, at + 1)
-    return best
-
-
 class FuzzyNotices:
     """Matches notices with at most ``error_share`` of their characters edited."""
 
@@ -94,10 +82,9 @@ class FuzzyNotices:
         seeds: dict[str, list[tuple[int, int, int]]] = {}
         for k, (phrase, label) in enumerate(notices):
             errors = min(int(len(phrase) * error_share), max(0, len(phrase) // least_piece - 1))
-            bits: dict[str, int] = {}
-            for i, c in enumerate(phrase):
-                bits[c] = bits.get(c, 0) | 1 << i
-            self.notices.append((phrase, label, errors, bits))
+            # At most so many edits, and as few as can be, over a whole stretch of words.
+            pattern = regex.compile(f"(?b)(?:{regex.escape(phrase)}){{e<={errors}}}")
+            self.notices.append((phrase, label, errors, pattern))
             cuts = [len(phrase) * i // (errors + 1) for i in range(errors + 2)]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 seeds.setdefault(phrase[i:j], []).append((k, i, j))
@@ -120,6 +107,22 @@ class FuzzyNotices:
                         held.add(s)
         return found
 
+    def closest(self, k: int, stream: str, start: int) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the best match of notice k from a word start to a word end.
+
+        Ends are as far away as the notice is long, give or take its errors. The regex library
+        matches each stretch whole: fixed at both edges, its fewest edits are the edit distance.
+        """
+        phrase, _, errors, pattern = self.notices[k]
+        best = None
+        end = stream.find(" ", max(start + 1, start + len(phrase) - errors))
+        while end >= 0 and end <= start + len(phrase) + errors:
+            if stream[end - 1] != " " and (hit := pattern.fullmatch(stream, start, end)) is not None:
+                found = (sum(hit.fuzzy_counts), start, end)
+                best = found if best is None else min(best, found)
+            end = stream.find(" ", end + 1)
+        return best
+
     def matches(self, stream: str) -> list[tuple[str, int, int, int, float]]:
         """(label, start, end, edits, similarity) in characters of the stream.
 
@@ -128,16 +131,24 @@ class FuzzyNotices:
         """
         out = []
         for k, held in self.starts(stream).items():
-            phrase, label, errors, bits = self.notices[k]
-            hits = [hit for s in held if (hit := closest(stream, s, len(phrase), errors, bits))]
-            taken: list[tuple[int, int]] = []
+            phrase, label = self.notices[k][:2]
+            hits = [hit for start in held if (hit := self.closest(k, stream, start))]
+            taken: list[tuple[int, int]] = []  # disjoint and sorted
             for edits, start, end in sorted(hits):
-                if all(end <= x or y <= start for x, y in taken):
-                    taken.append((start, end))
+                at = bisect.bisect_left(taken, (start, end))
+                if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                    taken.insert(at, (start, end))
                     out.append((label, start, end, edits, 1 - edits / len(phrase)))
         out = sorted(set(out), key=lambda m: (m[1], m[2], m[0], m[3]))
-        # Of notices that differ in a word or two, the closest one stands for a place.
-        return [m for m in out if not any(o[4] > m[4] and o[1] < m[2] and m[1] < o[2] and o[2] - o[1] >= m[2] - m[1] - 2 for o in out)]
+        # Of notices that differ in a word or two, the closest one stands for a place. Matches
+        # are at most as long as the longest one, so only near starts can overlap.
+        starts, widest = [m[1] for m in out], max((m[2] - m[1] for m in out), default=0)
+
+        def closer(m):
+            near = out[bisect.bisect_right(starts, m[1] - widest) : bisect.bisect_left(starts, m[2])]
+            return any(o[4] > m[4] and m[1] < o[2] and o[2] - o[1] >= m[2] - m[1] - 2 for o in near)
+
+        return [m for m in out if not closer(m)]
 
 
 FOUND = (
@@ -162,9 +173,10 @@ def scan_text(text: str | None, base: dict[bytes, str], fuzzy: FuzzyNotices) ->
             starts.extend(found)
             base_labels.add(label)
     plain = stream.decode("utf-8", "replace")
-    found = []
-    for label, start, end, edits, alike in fuzzy.matches(plain):
-        found.append((label, plain.count(" ", 0, start) - 1, plain.count(" ", start, end) + 1, edits, alike, plain[start:end]))
+    found, number, counted = [], 0, 0
+    for label, start, end, edits, alike in fuzzy.matches(plain):  # in order of their starts
+        number, counted = number + plain.count(" ", counted, start), start
+        found.append((label, number - 1, plain.count(" ", start, end) + 1, edits, alike, plain[start:end]))
     labels = base_labels | {f[0] for f in found}
     score = max([1.0 if starts else 0.0, *(f[4] for f in found)])
     return n_words, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, found

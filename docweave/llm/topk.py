@@ -3,7 +3,8 @@
 For a segment of L components with means m and deviations s, the squared distance of two
 vectors is at least L * ((m - m')^2 + (s - s')^2). Summed over segments, this bounds the
 distance from below and so q.x = (|q|^2 + |x|^2 - d^2) / 2 from above. Bounds go from coarse
-to fine; only survivors get exact integer scores.
+to fine, first for tiles of vectors with like statistics, then for pairs; only survivors get
+exact integer scores.
 """
 
 from __future__ import annotations
@@ -15,67 +16,115 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import map_groups
 
-#: Vectors of one block, and queries and vectors bounded at once inside of it.
-BLOCK, TILE = 32_768, 4_096
+#: Vectors of one block, vectors of a tile inside of it, and queries that meet a tile at once.
+BLOCK, TILE, QUERIES = 32_768, 1_024, 256
 LEVELS = (1, 4, 16)
-#: Components beyond have scores that no long can hold.
-LARGEST = 1 << 27
+#: Stands for no score yet, below all scores.
+NONE = -((1 << 63) - 1)
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, ints): floor(256 * x). Rows without an id, with null, empty or non-finite
-    vectors take no part; repeated rows count once. Components beyond ``LARGEST`` are an
-    error: their scores may not fit a long, and dropping rows would change the results."""
-    beyond = F.raise_error(F.lit(f"op2: a component of {LARGEST >> 8} or more in size; scale the vectors")).cast("long")
-    x = F.transform("embedding", lambda c: F.when(F.abs(c.cast("double")) < LARGEST / 256, F.floor(c.cast("double") * 256)).otherwise(beyond))
-    sound = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
+    """(vec_id, ints): floor(256 * x) as whole doubles. Rows without an id, with null, empty or
+    non-finite vectors take no part; repeated rows count once, and rows that share an id but
+    not a vector stand beside each other."""
+    scaled = lambda c: c.cast("double") * 256
+    # Doubles of 2^52 and more are whole already; smaller ones pass through a long.
+    x = F.transform("embedding", lambda c: F.when(F.abs(scaled(c)) < float(1 << 52), F.floor(scaled(c)).cast("double")).otherwise(scaled(c)))
+    sound = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(scaled(c)) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & sound)
     return rows.select(F.col("vec_id").cast("long"), x.alias("ints")).distinct()
 
 
-def _bound(q: np.ndarray, x: np.ndarray, segments: int) -> np.ndarray:
-    """Upper bounds of the inner products, rows of q by rows of x."""
-    parts = np.array_split(np.arange(q.shape[1]), segments)
-    total = np.zeros((len(q), len(x)))
-    for p in parts:
-        a, b = q[:, p], x[:, p]
-        total += len(p) * (np.outer(a.mean(1), b.mean(1)) + np.outer(a.std(1), b.std(1)))
-    # Equal to (|q|^2 + |x|^2 - bound of d^2) / 2; the margin covers rounding.
-    return total + 0.5 + 1e-9 * np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
+    """Rows whose inner products bound those of ``x`` from above.
 
+    A segment of L components gives sqrt(L) times its mean and sqrt(L) times its deviation, so
+    the product of two rows is the sum of L * (m * m' + s * s') over the segments. That equals
+    (|q|^2 + |x|^2) / 2 less half of the lower bound of the squared distance.
+    """
+    parts = np.array_split(np.arange(x.shape[1]), segments)
+    root = np.sqrt([len(p) for p in parts])
+    means = np.stack([x[:, p].mean(1) for p in parts], 1) * root
+    return np.concatenate([means, np.stack([x[:, p].std(1) for p in parts], 1) * root], 1)
+
+
+def group_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Upper bounds of products of each row of ``q`` with anything between each ``low`` and ``high``."""
+    return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+
+
+def _exact(q: np.ndarray, x: np.ndarray, peak: float) -> np.ndarray:
+    """Integer inner products. ``peak`` bounds the product of the norms, and with it every
+    partial sum: doubles are exact below 2^53; larger ones are summed as Python integers."""
+    if peak < float(1 << 53):
+        return (q @ x.T).astype(np.int64)
+    to_int = np.frompyfunc(int, 1, 1)
+    scores = to_int(q) @ to_int(x).T
+    if any(abs(s) >= -NONE for s in scores.flat):
+        raise OverflowError("a score is beyond 64 bits; scale the vectors")
+    return scores.astype(np.int64)
+
+
+def _search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, stats: dict | None = None) -> list[tuple[int, int, int]]:
+    """The k best of one block for each query: (query, vector, score).
+
+    Vectors are ordered by their coarsest statistics and cut into tiles; each tile has its
+    statistics once, at all levels, and their ranges. For a group of queries the tiles go from
+    the largest bound down. A query skips a tile whose bound is below its k-th score; in the
+    others each level is one matrix product, and the pairs that stay get exact scores.
+    ``stats`` counts the pairs that tiles and levels refuse.
+    """
+    def count(name, pairs):
+        if stats is not None:
+            stats[name] = stats.get(name, 0) + pairs
 
-def _search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """The k best of one block for each query: (query, vector, score)."""
-    order = np.argsort(ids, kind="stable")
+    levels = [s for s in LEVELS if s <= q.shape[1]]
+    coarse = segment_features(x, 1)
+    order = np.lexsort((ids, coarse[:, 1], np.round(coarse[:, 0] / (np.abs(coarse[:, 0]).max() / 8 + 1))))
     ids, x = ids[order], x[order]
-    fx, fq = x.astype(float), q.astype(float)
-    scores = [np.empty(0, np.int64) for _ in q]
-    where = [np.empty(0, np.int64) for _ in q]
+    tiles = []
     for start in range(0, len(x), TILE):
-        tile, tile_ids = slice(start, start + TILE), ids[start : start + TILE]
-        for first in range(0, len(q), 512):
-            some = slice(first, first + 512)
-            levels = [s for s in LEVELS if s <= q.shape[1]]
-            upper = _bound(fq[some], fx[tile], levels[0])
-            for row in range(upper.shape[0]):
-                at = first + row
-                live = np.flatnonzero(tile_ids != query_ids[at])
-                if not len(live):
-                    continue
-                # The best bounds give exact scores, and so a threshold that no better vector misses.
-                lead = live[np.argsort(-upper[row, live], kind="stable")[: 4 * k]]
-                known = np.sort(np.concatenate([scores[at], x[start + lead] @ q[at]]))[::-1]
-                least = known[k - 1] if len(known) >= k else None
-                for segments in levels:
-                    if least is None:
-                        break
-                    bound = upper[row, live] if segments == levels[0] else _bound(fq[at : at + 1], fx[start + live], segments)[0]
-                    live = live[bound >= least]
-                exact = x[start + live] @ q[at]
-                s, w = np.concatenate([scores[at], exact]), np.concatenate([where[at], start + live])
-                best = np.lexsort((ids[w], -s))[:k]
-                scores[at], where[at] = s[best], w[best]
-    return [(int(query_ids[i]), int(ids[w]), int(s)) for i in range(len(q)) for w, s in zip(where[i], scores[i], strict=True)]
+        rows = x[start : start + TILE]
+        features = [segment_features(rows, s) for s in levels]
+        widest = features[-1]
+        tiles.append((ids[start : start + TILE], rows, features, widest.min(0), widest.max(0)))
+    low, high = np.stack([t[3] for t in tiles]), np.stack([t[4] for t in tiles])
+    largest = np.linalg.norm(x, axis=1).max()
+    found = []
+    for first in range(0, len(q), QUERIES):
+        asked, asked_ids = q[first : first + QUERIES], query_ids[first : first + QUERIES]
+        norms = np.linalg.norm(asked, axis=1)
+        margin = 0.5 + 1e-9 * norms * largest  # covers the rounding of bounds
+        features = [segment_features(asked, s) for s in levels]
+        reach = group_bounds(features[-1], low, high) + margin[:, None]
+        scores, where = np.full((len(asked), k), NONE), np.full((len(asked), k), -1)
+        for t in np.argsort(-reach.max(0), kind="stable"):
+            tile_ids, rows, tile_features, _, _ = tiles[t]
+            live, held = np.flatnonzero(reach[:, t] >= scores[:, -1]), np.arange(len(rows))
+            count("tiles", (len(asked) - len(live)) * len(rows))
+            for level, s in enumerate(levels):
+                if not len(live) or not len(held) or scores[live, -1].max() == NONE:
+                    break
+                stay = features[level][live] @ tile_features[level][held].T + margin[live, None] >= scores[live, -1][:, None]
+                left, kept = np.flatnonzero(stay.any(1)), np.flatnonzero(stay.any(0))
+                count(s, len(live) * len(held) - len(left) * len(kept))
+                live, held = live[left], held[kept]
+            if not len(live) or not len(held):
+                continue
+            count("exact", len(live) * len(held))
+            exact = _exact(asked[live], rows[held], norms.max() * largest)
+            exact[asked_ids[live, None] == tile_ids[held]] = NONE
+            floor = scores[live, -1]
+            if len(held) > k:
+                floor = np.maximum(floor, np.partition(exact, len(held) - k, axis=1)[:, len(held) - k])
+            for row, at in enumerate(live):
+                new = np.flatnonzero((exact[row] >= floor[row]) & (exact[row] > NONE))
+                both, names = np.concatenate([scores[at], exact[row, new]]), np.concatenate([where[at], tile_ids[held[new]]])
+                best = np.lexsort((names, -both))[:k]
+                scores[at], where[at] = both[best], names[best]
+        for i, query in enumerate(asked_ids.tolist()):
+            found += [(query, int(w), int(s)) for s, w in zip(scores[i], where[i], strict=True) if s > NONE]
+    return found
 
 
 def _each(n: int) -> Column:
@@ -84,7 +133,9 @@ def _each(n: int) -> Column:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other vectors of each query, ties to the
-    smaller id. ``vectors`` and ``queries`` are ``quantised``; lengths meet their like only.
+    smaller id. ``vectors`` and ``queries`` are ``quantised``; lengths meet their like only. A
+    repeated id stands once for each of its vectors, as a candidate and as a query, whose
+    hits are then ranked together; null vectors are none. A score beyond 64 bits is an error.
 
     Vectors are dealt into blocks by a hash, queries go to every block, and each block keeps
     k rows a query, so no task holds more than a block and the queries it is given.

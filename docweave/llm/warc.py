@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import id_back, id_key, map_groups, slices
+from docweave.llm.common import NO_ID, id_back, id_key, map_groups, slices
 from docweave.session import ensure_checkpoint_dir, store
 
 CHUNK = 1 << 20
@@ -120,9 +120,12 @@ def write_monolithic(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES
 def revisits(records: DataFrame, least_bytes: int = 100) -> DataFrame:
     """Records with ``refers_to``: the smallest page with an equal payload, else null.
 
-    Rows that share the smallest id all stay responses. The minima combine map-side.
+    Rows that share the smallest id all stay responses. Rows without an id can be referred to
+    by none: they revisit the smallest id, and stay responses where there is none. The minima
+    combine map-side.
     """
-    first = records.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
+    known = records.where((F.col("payload_bytes") >= least_bytes) & (F.col("page_id") != NO_ID))
+    first = known.groupBy("payload_digest").agg(F.min("page_id").alias("first"))
     refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
     return records.join(first, "payload_digest", "left").select("path", "ordinal", refers.alias("refers_to"))
 
@@ -168,7 +171,9 @@ def normalise(plan: DataFrame, source: str, target: str) -> DataFrame:
             side.write(gzip.compress("".join(json.dumps(x) + "\n" for x in index).encode(), LEVEL, mtime=0))
         return [path] * len(index), list(range(len(index))), [x["offset"] for x in index], [x["length"] for x in index]
 
-    return store(map_groups(plan, ["path"], rewrite, schema, "path string, ordinal bigint, offset bigint, length bigint"), "warc-index")
+    archives = plan.select("path").distinct().count()
+    ddl = "path string, ordinal bigint, offset bigint, length bigint"
+    return store(map_groups(plan, ["path"], rewrite, schema, ddl, parts=max(1, archives)), "warc-index")
 
 
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, declared_digest string, declared_bytes bigint, payload binary"
@@ -196,7 +201,8 @@ def read_records(index: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES)
         return [list(c) for c in zip(*out, strict=True)]
 
     split = F.floor(F.col("offset") / F.lit(split_bytes)).cast("long").alias("split")
-    return map_groups(index.select("path", split, "offset", "length"), ["path", "split"], read, schema, RECORD, rows=500)
+    stretches = index.select("path", split).distinct().count()
+    return map_groups(index.select("path", split, "offset", "length"), ["path", "split"], read, schema, RECORD, rows=500, parts=max(1, stretches))
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 100) -> DataFrame:

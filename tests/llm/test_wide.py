@@ -17,22 +17,19 @@ from docweave.llm.common import text_key
 
 def test_archive_round_trip(spark):
     big, small = "<p>" + "x" * 200, "<p>s"
-    rows = [(1, "u\r\nX: y", big), (2, None, big), (3, "é", small), (4, "v", small), (None, "n", big), (5, "w", None), (6, "w", "é" * 60), (7, "w", "é" * 60), (7, "w", "é" * 60), (8, "q" * 9000, "z" * 300000)]
+    rows = [(1, "u\r\nX: y", big), (2, None, big), (3, "é", small), (4, "v", small), (None, "n", big), (5, "w", None), (6, "w", "é" * 60), (7, "w", "é" * 60), (7, "w", "é" * 60), (None, "n", "no id at all" * 20), (None, "m", "no id at all" * 20), (8, "q" * 9000, "z" * 300000)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, path int").repartition(3)
     got = collections.Counter((r.page_id, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in warc.archive_pages(pages).collect())
     least = {}
     for i, _, h in rows:
         p = (h or "").encode()
-        if len(p) >= 100:
-            least[p] = min(least.get(p, 1 << 62), warc.id_key and (i if i is not None else -(1 << 63)))
+        if len(p) >= 100 and i is not None:
+            least[p] = min(least.get(p, 1 << 62), i)
     want = collections.Counter()
     for i, _, h in rows:
-        p, key = (h or "").encode(), i if i is not None else -(1 << 63)
-        if least.get(p, key) != key:
-            first = least[p]
-            want[(i, "revisit", None if first == -(1 << 63) else first, None)] += 1
-        else:
-            want[(i, "response", None, p)] += 1
+        p = (h or "").encode()
+        first = least.get(p)
+        want[(i, "response", None, p) if first in (None, i) else (i, "revisit", first, None)] += 1
     assert got == want
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
@@ -79,23 +76,48 @@ def test_top_k_equals_brute_force(spark, block):
     assert topk.top_k(none, none).count() == 0
 
 
-def test_vectors_too_large_for_scores_are_an_error(spark):
-    rows = [(1, [1.0, 2.0]), (2, [float("inf"), 0.0]), (3, [0.0, 600000.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert [r.vec_id for r in topk.quantised(df.where("vec_id < 3")).collect()] == [1]
+def test_large_vectors_and_long_ones(spark):
+    """Products beyond doubles are summed exactly; a score beyond a long is an error."""
+    rows = [(0, [3e6, 1.0, -7e5]), (50, [2e6, -3.0, 9e6]), (1, [float("inf"), 0.0, 0.0]), (2, None), (3, [1.0, None, 0.0]), (4, [-0.001, 5e6, 5e6])]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    ints = {r.vec_id: [int(v) for v in r.ints] for r in df.collect()}
+    assert set(ints) == {0, 50, 4} and ints[4][0] == -1
+    got = {(r.query_id, r["rank"], r.vec_id): r.score for r in topk.top_k(df, df.where("vec_id % 50 = 0"), 5).collect()}
+    score = lambda a, b: sum(x * y for x, y in zip(ints[a], ints[b]))
+    want = {}
+    for a in (0, 50):
+        for rank, b in enumerate(sorted((b for b in ints if b != a), key=lambda b: (-score(a, b), b)), 1):
+            want[a, rank, b] = score(a, b)
+    assert got == want
+    huge = topk.quantised(spark.createDataFrame([(0, [1e9]), (50, [1e9])], "vec_id long, embedding array<double>"))
     with pytest.raises(Exception, match="scale the vectors"):
-        topk.quantised(df).collect()
+        topk.top_k(huge, huge, 5).collect()
+    long = topk.quantised(spark.createDataFrame([(i, [float(i % 7) - 3] * 5000 + [float(i)]) for i in range(30)], "vec_id long, embedding array<float>"))
+    best = topk.top_k(long, long.where("vec_id = 6"), 1).collect()
+    assert [(r.vec_id, r.score) for r in best] == [(27, 65536 * (9 * 5000 + 6 * 27))]
 
 
-def test_bounds_are_upper_bounds():
+def test_bounds_are_upper_bounds_and_refuse_pairs():
     rng = np.random.default_rng(2)
     q, x = rng.integers(-300, 300, (20, 64)).astype(float), rng.integers(-300, 300, (50, 64)).astype(float)
-    last = None
+    last = np.inf
     for s in topk.LEVELS:
-        b = topk._bound(q, x, s)
-        assert (b >= q @ x.T).all()
-        last = b
-    assert (last <= topk._bound(q, x, 1) + 1).all()
+        f, g = topk.segment_features(q, s), topk.segment_features(x, s)
+        assert (f @ g.T >= q @ x.T - 1e-6).all() and (f @ g.T <= last + 1e-6).all()
+        assert (topk.group_bounds(f, g.min(0)[None], g.max(0)[None])[:, 0] >= (f @ g.T).max(1) - 1e-6).all()
+        last = f @ g.T
+    # Vectors along a few smooth shapes: most pairs never get an exact score.
+    shapes = np.cumsum(rng.normal(size=(8, 64)), axis=1)
+    many = np.floor(256 * (shapes[rng.integers(0, 8, 6000)] * rng.uniform(0.2, 3, (6000, 1)) + rng.normal(size=(6000, 64)) * 0.05))
+    stats = {}
+    found = topk._search(np.arange(6000), many, np.arange(0, 6000, 60), many[::60], 5, stats)
+    score = many.astype(np.int64) @ many[::60].astype(np.int64).T
+    want = []
+    for c, i in enumerate(range(0, 6000, 60)):
+        order = [j for j in np.lexsort((np.arange(6000), -score[:, c]))[:6] if j != i][:5]
+        want += [(i, int(j), int(score[j, c])) for j in order]
+    assert found == want
+    assert stats["exact"] < 0.25 * 6000 * 100, stats
 
 
 def test_mix_targets(docs_of, odd_docs, no_docs):
