@@ -41,9 +41,16 @@ def repeats(spark, docs, sf_dir):
 
 
 def mixture(spark, docs, sf_dir):
-    """Each document as often as the mix takes it."""
-    copies = mix(docs).groupBy(id_key("doc_id").alias("key")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
-    rows = docs.select(*COLUMNS, id_key("doc_id").alias("key")).join(copies, "key")
+    """Each document as often as the mix takes it.
+
+    Rows are told apart by id, text and source; the copies of equal ones add up and are
+    taken from one of them.
+    """
+    keys = ["key", "t", "s"]
+    source = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    chosen = (id_key("doc_id").alias("key"), text_key().alias("t"), source.alias("s"))
+    copies = mix(docs, carry=chosen).where("copies > 0").groupBy(*keys).agg(F.sum("copies").cast("int").alias("copies"))
+    rows = docs.select(*COLUMNS, *chosen).dropDuplicates(keys).join(copies, keys)
     return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS)
 
 
