@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.functions.payloads import read_payload
 from docweave.functions.text import rewrite_fallback
 
 EMBED_BATCH = 64
@@ -70,16 +71,12 @@ def extract_candidates(
     """``(document_id, chunk_id, pos, raw_json, error)`` for every extractable chunk.
 
     Retries back off exponentially; a chunk that keeps failing becomes an error row, any
-    other exception fails the task. The answer must be a JSON object with both arrays, as
-    ``parse_extractions`` requires, else it counts as a failed attempt.
+    other exception fails the task. An answer that ``parse_extractions`` would turn down counts
+    as a failed attempt, with its reason as the error.
     """
-    import json
-
     def attempt(row) -> str:
         raw = fn(extraction_prompt(row.text, row.chunk_id, row.extraction_policy, row.language))
-        payload = json.loads(raw)
-        if not isinstance(payload, dict) or not all(isinstance(payload.get(k), list) for k in ("entities", "relations")):
-            raise ValueError("extraction output must be an object with entities and relations")
+        read_payload(raw)
         return raw
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

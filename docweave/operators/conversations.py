@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import DEFAULT_TITLE, derive_title, history_item, message_id
@@ -20,23 +20,38 @@ def history_window(messages: DataFrame, n: int | None = HISTORY_MESSAGES) -> Dat
     return first_rows(messages, ["conversation_id"], [F.desc("turn_index")], n).drop("_rank")
 
 
+def _halo(bucketed: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` messages before every (conversation, bucket), placed into that bucket.
+
+    Buckets may hold fewer than ``n`` messages, so a message may be sent on to up to ``n``
+    later ones. Which buckets need how many follows from the counts of the buckets alone.
+    """
+    keys = ["conversation_id", "_bucket"]
+    ordered = Window.partitionBy("conversation_id").orderBy("_bucket")
+    ahead = F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    counts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
+    earlier = F.collect_list(F.struct(F.col("_bucket").alias("bucket"), (F.col("_ahead") + F.col("_n")).alias("end")))
+    listed = counts.withColumn("_earlier", earlier.over(ordered.rowsBetween(-n, -1)))
+    wanted = listed.select("conversation_id", F.col("_bucket").alias("_target"), "_ahead", F.explode("_earlier").alias("e")).select("conversation_id", F.col("e.bucket").alias("_bucket"), "_target", (n - F.col("_ahead") + F.col("e.end")).alias("_need"))
+    tails = first_rows(bucketed, keys, [F.desc("turn_index")], n)
+    sent = tails.join(wanted, keys).where(F.col("_rank") <= F.col("_need"))
+    return sent.drop("_bucket", "_rank", "_need").withColumnRenamed("_target", "_bucket")
+
+
 def prior_history(messages: DataFrame, n: int = HISTORY_MESSAGES) -> DataFrame:
-    """Every message with the ``n`` messages before it as a role/content array."""
-    numbered = bucketed_row_number(
-        messages, ["conversation_id"], ["turn_index"], F.floor(F.col("turn_index") / TURN_BUCKET), "position"
-    )
-    item = F.struct("position", history_item("role", "text").alias("item"))
-    sent = numbered.select(
-        "conversation_id", F.explode(F.sequence(F.col("position") + 1, F.col("position") + n)).alias("target"), item.alias("h")
-    )
-    lists = sent.groupBy("conversation_id", F.col("target").alias("position")).agg(
-        F.sort_array(F.collect_list("h")).alias("_items")
-    )
-    joined = numbered.join(lists, ["conversation_id", "position"], "left")
+    """Every message with the ``n`` messages before it as a role/content array.
+
+    Messages are dealt by conversation and bucket of turns, once; a bucket also gets the
+    ``n`` messages before it, so a window inside of the bucket sees all it needs.
+    """
     empty = F.array().cast("array<struct<role:string,content:string>>")
-    return joined.withColumn(
-        "history", F.coalesce(F.transform("_items", lambda h: h["item"]), empty)
-    ).drop("_items", "position")
+    if n < 1:
+        return messages.withColumn("history", empty)
+    bucketed = messages.withColumn("_bucket", F.floor(F.col("turn_index") / TURN_BUCKET))
+    rows = bucketed.withColumn("_own", F.lit(True)).unionByName(_halo(bucketed, n).withColumn("_own", F.lit(False)))
+    before = Window.partitionBy("conversation_id", "_bucket").orderBy("turn_index").rowsBetween(-n, -1)
+    listed = rows.withColumn("history", F.collect_list(history_item("role", "text")).over(before))
+    return listed.where("_own").select(*messages.columns, F.col("history").cast("array<struct<role:string,content:string>>").alias("history"))
 
 
 def append_turns(

@@ -6,11 +6,15 @@ per-edge lists are pruned inside the tasks before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import edge_id
 from docweave.operators.ordering import bounded_list, distinct_count, stack_counters
+from docweave.session import co_located, store, store_bucketed
 
 ALIAS_LIMIT = 20
 EVIDENCE_LIMIT = 20
@@ -60,9 +64,7 @@ def eligible_relations(
     Self relations of a canonical are kept; ``canonical_edges`` drops them and
     ``coverage`` counts them.
     """
-    facts = relations
-    if min_confidence is not None:
-        facts = facts.where(F.coalesce("confidence", F.lit(0.0)) >= min_confidence)
+    facts = relations if min_confidence is None else confident(relations, min_confidence)
     facts = facts.select("source_id", "target_id", "type", "confidence", "evidence_chunk_id")
     side = accepted.select("entity_id", "document_id", "canonical_id")
     source = side.toDF("source_id", "document_id", "source_canonical_id")
@@ -83,6 +85,44 @@ def eligible_relations(
     )
 
 
+@dataclass(frozen=True)
+class EvidenceViews:
+    """The stored projection: ``live``, ``accepted`` and ``facts`` dealt by document, and the
+    ``nodes`` and ``edges`` that come from them. ``facts`` have no confidence floor."""
+
+    live: DataFrame
+    accepted: DataFrame
+    facts: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+
+    def facts_from(self, min_confidence: float | None = MIN_CONFIDENCE) -> DataFrame:
+        return self.facts if min_confidence is None else confident(self.facts, min_confidence)
+
+
+def confident(facts: DataFrame, min_confidence: float) -> DataFrame:
+    return facts.where(F.coalesce("confidence", F.lit(0.0)) >= min_confidence)
+
+
+def store_views(tables: Mapping[str, DataFrame], min_confidence: float = MIN_CONFIDENCE) -> EvidenceViews:
+    """Check all evidence once and store the result; to be renewed with every version of the tables.
+
+    Everything that is joined lies in one document, so the views are bucketed by document and
+    their joins with each other, on whatever further columns, move no rows.
+    """
+    spark = tables["entities"].sparkSession
+    with co_located(spark):
+        live = store_bucketed(live_mentions(tables["mentions"], tables["chunks"], tables["documents"]), "live", "document_id")
+        # Ids of both tables meet by document, as everything behind them does.
+        entities = tables["entities"].repartition("document_id")
+        resolutions = tables["resolutions"].repartition("source_document_id")
+        accepted = store_bucketed(accepted_resolutions(entities, resolutions, live), "accepted", "document_id")
+        facts = store_bucketed(eligible_relations(accepted, tables["relations"], live, None), "facts", "document_id")
+        nodes = store(canonical_nodes(accepted, tables["canonicals"]), "nodes")
+        edges = store(canonical_edges(confident(facts, min_confidence)), "edges")
+    return EvidenceViews(live, accepted, facts, nodes, edges)
+
+
 def canonical_nodes(accepted: DataFrame, canonicals: DataFrame, alias_limit: int = ALIAS_LIMIT) -> DataFrame:
     """One row per canonical with counts and its first aliases in name order.
 
@@ -171,10 +211,14 @@ def coverage(
     document_id: str | None = None,
     min_confidence: float = MIN_CONFIDENCE,
     by_document: bool = False,
+    views: EvidenceViews | None = None,
 ) -> DataFrame:
-    """The eight coverage counters, over everything or per document."""
-    if document_id is not None:
-        entities = entities.where(F.col("document_id") == document_id)
+    """The eight coverage counters, over everything or per document.
+
+    With stored ``views`` of these tables the evidence is not checked again.
+    """
+    scope = (lambda df: df) if document_id is None else (lambda df: df.where(F.col("document_id") == document_id))
+    entities = scope(entities)
     group = ["document_id"] if by_document else []
     own = F.col("resolution_status")
     sources = entities.groupBy(*group).agg(
@@ -182,13 +226,13 @@ def coverage(
         F.count_if(own == "review").alias("review_source_entity_count"),
         F.count_if(own == "unresolved").alias("unresolved_source_entity_count"),
     )
-    accepted = accepted_resolutions(entities, resolutions, mentions)
+    accepted = accepted_resolutions(entities, resolutions, mentions) if views is None else scope(views.accepted)
     linked = accepted.groupBy(*group).agg(F.count(F.lit(1)).alias("accepted_source_entity_count"))
     owner = entities.select(F.col("entity_id").alias("source_id"), "document_id")
     total = relations.join(owner, "source_id").groupBy(*group).agg(
         F.count(F.lit(1)).alias("source_relation_count")
     )
-    facts = eligible_relations(accepted, relations, mentions, min_confidence)
+    facts = eligible_relations(accepted, relations, mentions, min_confidence) if views is None else scope(views.facts_from(min_confidence))
     eligible = facts.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_eligible"),
         F.count_if(F.col("source_canonical_id") == F.col("target_canonical_id")).alias(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.text import canonical_id, normalize_ascii
+from docweave.operators.projection import EvidenceViews, store_views
 from docweave.session import spread, store
 
 
@@ -74,6 +75,17 @@ def graph_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return dict(_STORED[key])
 
 
+_VIEWS: dict[tuple[str, str], EvidenceViews] = {}
+
+
+def graph_views(spark: SparkSession, sf_dir: str) -> EvidenceViews:
+    """The stored projection of ``graph_tables``, built once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VIEWS:
+        _VIEWS[key] = store_views(graph_tables(spark, sf_dir))
+    return _VIEWS[key]
+
+
 def _ingest(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Resolution is exact on the normalised name: every name has one canonical, the
     evidence is the first chunk of the entity.
@@ -179,11 +191,18 @@ def extraction_candidates(rows: DataFrame) -> DataFrame:
 
 
 def raw_payloads(rows: DataFrame) -> DataFrame:
-    """The same output as model JSON, with some payloads damaged by the line quantity."""
+    """The same output as model JSON, with some payloads damaged by the line quantity.
+
+    Evidence is bad with a blank chunk id, a text beyond the limit, or no text and an empty range.
+    """
     q = F.col("l_quantity")
     body = F.to_json(F.struct("entities", "relations"))
     raw = (
-        F.when(q == 37, F.substring(body, 1, 20))
+        F.when(q == 3, F.replace(body, F.lit('"text":'), F.lit('"char_start":3,"char_end":3,"note":')))
+        .when(q == 5, F.replace(body, F.lit('"text":'), F.lit('"text":"' + "x" * 501 + '","note":')))
+        .when(q == 11, F.replace(body, F.concat(F.lit('"chunk_id":"'), "chunk_id"), F.lit('"chunk_id":" ')))
+
+        .when(q == 37, F.substring(body, 1, 20))
         .when(q == 41, F.to_json(F.struct("entities")))
         .when(q == 43, "[1]")
         .when(q == 47, '{"entities":[{"name":1,"type":"T"}],"relations":[]}')

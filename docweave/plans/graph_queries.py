@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.operators import projection as P
-from docweave.plans.derived import graph_tables
+from docweave.plans.derived import graph_tables, graph_views
 
 GRAPH_SQL = """
 WITH lines AS (
@@ -79,17 +79,28 @@ class Graph:
 
     def __init__(self, spark, sf_dir):
         self.t = graph_tables(spark, sf_dir)
-        self.live = P.live_mentions(self.t["mentions"], self.t["chunks"], self.t["documents"])
-        self.accepted = P.accepted_resolutions(self.t["entities"], self.t["resolutions"], self.live)
+        self.source = spark, sf_dir
+
+    @property
+    def views(self):
+        return graph_views(*self.source)
+
+    @property
+    def live(self):
+        return self.views.live
+
+    @property
+    def accepted(self):
+        return self.views.accepted
 
     def facts(self, min_confidence=P.MIN_CONFIDENCE):
-        return P.eligible_relations(self.accepted, self.t["relations"], self.live, min_confidence)
+        return self.views.facts_from(min_confidence)
 
     def edges(self, evidence_limit=None):
-        return P.canonical_edges(self.facts(), evidence_limit)
+        return self.views.edges if evidence_limit is None else P.canonical_edges(self.facts(), evidence_limit)
 
     def nodes(self):
-        return P.canonical_nodes(self.accepted, self.t["canonicals"])
+        return self.views.nodes
 
 
 def canonical_edges_top(spark, sf_dir):
@@ -124,12 +135,12 @@ def node_documents(spark, sf_dir):
 
 def projection_coverage(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return P.coverage(g.t["entities"], g.t["resolutions"], g.t["relations"], g.live)
+    return P.coverage(g.t["entities"], g.t["resolutions"], g.t["relations"], g.live, views=g.views)
 
 
 def coverage_by_document(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return P.coverage(g.t["entities"], g.t["resolutions"], g.t["relations"], g.live, by_document=True)
+    return P.coverage(g.t["entities"], g.t["resolutions"], g.t["relations"], g.live, by_document=True, views=g.views)
 
 
 def coverage_violations(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docweave.functions.models import embed_column, extract_candidates
 from docweave.operators import chunking, merging, resolution, validation
 from docweave.operators.projection import live_mentions
-from docweave.session import cut
+from docweave.session import cut, store
 from docweave.sources.tables import upsert_chunks, upsert_documents, upsert_graph
 
 
@@ -24,7 +24,8 @@ def extract_graph(
     """Model output of the chunks to merged entities, mentions, relations and diagnostics."""
     raw = cut(extract_candidates(chunks, chat, **options))
     broken = raw.where("error IS NOT NULL").select("document_id", "chunk_id", "pos", F.col("error").alias("reason"))
-    parsed, malformed = validation.parse_extractions(raw.where("error IS NULL"))
+    judged = store(validation.judge_payloads(raw.where("error IS NULL")), "payloads")
+    parsed, malformed = validation.split_payloads(judged)
     entities = cut(validation.gate_entities(validation.entity_candidates(parsed), entity_types))
     taken = validation.accepted(entities)
     relations = cut(

@@ -61,11 +61,11 @@ def fixture_problems(spark, sf_dir):
 
 def _words(spark, sf_dir):
     docs = D.text_documents(spark, sf_dir)
-    return docs.select("document_id", F.explode(F.split("raw_text", r"\s+")).alias("name")).where(F.length("name") >= 8)
+    return docs.select("document_id", F.explode(F.split("raw_text", r"\s+")).alias("name"))
 
 
 def _recall(spark, sf_dir):
-    """Long words with a capital are gold, long words with an e are extracted; German texts failed."""
+    """Words with a capital are gold, words with an e are extracted; German texts failed."""
     words = _words(spark, sf_dir)
     documents = D.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"), (F.col("lang") == "de").alias("failed")
@@ -122,7 +122,7 @@ WITH c AS (
 _WORDS = r"""
 WITH words AS (
   SELECT CAST(doc_id AS VARCHAR) AS document_id, name, lower(name) AS key FROM (
-    SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS name FROM documents) WHERE length(name) >= 8
+    SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS name FROM documents)
 ), gold AS (SELECT DISTINCT document_id, key FROM words WHERE regexp_matches(name, '^[A-Z]')),
 found AS (SELECT DISTINCT document_id, key FROM words WHERE contains(name, 'e')),
 counts AS (

@@ -50,8 +50,13 @@ def markdown_chunks(spark, sf_dir):
     return chunks.groupBy("content_kind", "extraction_policy").agg(F.count(F.lit(1)).alias("chunks"), F.sum("char_count").alias("chars"))
 
 
+def _unnumbered(spark, sf_dir):
+    """Every eighth page has lost its number."""
+    return _pages(spark, sf_dir).withColumn("page", F.when(F.col("page") % 8 != 5, F.col("page")))
+
+
 def page_offsets(spark, sf_dir):
-    placed, _ = S.place_pages(_pages(spark, sf_dir))
+    placed, _ = S.place_pages(_unnumbered(spark, sf_dir))
     return placed.select("document_id", "page", "page_start", "blank")
 
 
@@ -62,7 +67,7 @@ def _pages(spark, sf_dir):
 
 
 def assembled_pages(spark, sf_dir):
-    docs = S.assemble_pages(_pages(spark, sf_dir))
+    docs = S.assemble_pages(_unnumbered(spark, sf_dir))
     return docs.select("document_id", F.md5("raw_text").alias("text_md5"), "page_count", "blank_pages")
 
 
@@ -134,10 +139,11 @@ _CHUNKS = PACKED_SQL + "SELECT chunk_id, document_id, chunk_index, char_start, c
 _PAGES_SQL = """
 WITH pages_t AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn AS INTEGER) AS page, text FROM conversations),
 placed AS (
-  SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS page_start,
+  SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY page NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS page_start,
          regexp_replace(text, '\\s', '', 'g') = '' AS blank FROM pages_t
 )
 """
+_UNNUMBERED_SQL = _PAGES_SQL.replace("CAST(turn AS INTEGER) AS page", "CASE WHEN turn % 8 <> 5 THEN CAST(turn AS INTEGER) END AS page")
 
 QUERIES = {
     "chunk_split": (
@@ -162,11 +168,11 @@ QUERIES = {
           FROM conversations) GROUP BY ALL""",
     ),
     "markdown_chunks": (markdown_chunks, None),
-    "page_offsets": (page_offsets, _PAGES_SQL + "SELECT document_id, page, page_start, blank FROM placed"),
+    "page_offsets": (page_offsets, _UNNUMBERED_SQL + "SELECT document_id, page, page_start, blank FROM placed"),
     "assembled_pages": (
         assembled_pages,
-        _PAGES_SQL
-        + "SELECT document_id, md5(string_agg(text, chr(10) ORDER BY page)) AS text_md5, count(*) AS page_count, count(*) FILTER (blank) AS blank_pages FROM placed GROUP BY document_id",
+        _UNNUMBERED_SQL
+        + "SELECT document_id, md5(string_agg(text, chr(10) ORDER BY page NULLS FIRST, text)) AS text_md5, count(*) AS page_count, count(*) FILTER (blank) AS blank_pages FROM placed GROUP BY document_id",
     ),
     "page_blocks": (
         page_blocks,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +71,39 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def store_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``store`` with the rows dealt by ``key``, so that joins and sums on it need no shuffle.
+
+    One file a bucket, as many buckets as the session has shuffle partitions. A join on more
+    columns than ``key`` also stays in place (``co_located``).
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext.getCheckpointDir().rstrip("/")
+    unique = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        dealt = df.repartition(buckets, key)
+        dealt.write.bucketBy(buckets, key).sortBy(key).option("path", f"{base}/tables/{unique}").saveAsTable(unique)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.table(unique)
+
+
+@contextmanager
+def co_located(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside may join on several columns where both sides are dealt by one of them."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

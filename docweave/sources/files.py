@@ -13,6 +13,8 @@ DOC_TYPES = {"txt": "text", "md": "markdown", "markdown": "markdown", "pdf": "pd
 SKIPPED_FOLDERS = (".git", "node_modules", "__pycache__", ".venv")
 #: Page numbers that share a window partition.
 PAGE_BUCKET = 512
+#: Bucket of pages without a number, before all others.
+UNNUMBERED = -(1 << 40)
 
 
 def doc_type_of(path):
@@ -80,18 +82,19 @@ def place_pages(pages: DataFrame, max_pages: int | None = None) -> tuple[DataFra
 
     Only a caller's ``max_pages`` rejects documents. Offsets are running sums within buckets
     of ``PAGE_BUCKET`` page numbers, moved by the sums of earlier buckets, so the pages of a
-    long document are spread over many window partitions.
+    long document are spread over many window partitions. Pages without a number come first;
+    pages of one number are in order of their texts.
     """
     counts = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("page_count"))
     rejects = counts.where(F.lit(False) if max_pages is None else F.col("page_count") > max_pages)
     kept = pages if max_pages is None else pages.join(rejects, "document_id", "left_anti")
-    kept = kept.withColumn("_bucket", F.floor(F.col("page") / PAGE_BUCKET))
+    kept = kept.withColumn("_bucket", F.coalesce(F.floor(F.col("page") / PAGE_BUCKET), F.lit(UNNUMBERED)))
     size = F.length("text") + 1  # a missing text takes no part in the joined text either
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     sums = kept.groupBy("document_id", "_bucket").agg(F.sum(size).alias("_size"))
     moved = F.sum("_size").over(before.partitionBy("document_id").orderBy("_bucket"))
     shifts = sums.select("document_id", "_bucket", F.coalesce(moved, F.lit(0)).alias("_shift"))
-    inner = F.sum(size).over(before.partitionBy("document_id", "_bucket").orderBy("page"))
+    inner = F.sum(size).over(before.partitionBy("document_id", "_bucket").orderBy("page", "text"))
     placed = (
         kept.withColumn("_inner", F.coalesce(inner, F.lit(0)))
         .join(shifts, ["document_id", "_bucket"])
@@ -112,20 +115,56 @@ def assemble_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, line, text)`` of all lines of text files, blank ones included, from 1.
+
+    Files are read in splits. Lines of a split have consecutive running numbers, so a line's
+    number is its distance to the first one of its split plus the lines of the splits before;
+    only the table of splits is aggregated.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"),
+    )
+    splits = lines.groupBy("path", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.select("path", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.col("_id") - F.col("_first") + F.col("_before") + 1
+    return lines.join(placed, ["path", "_start"]).select("path", number.alias("line"), "text")
+
+
+CORRUPT = "_corrupt_record"
+
+
+def _parsed(text: str, schema: T.StructType):
+    whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return F.from_json(text, whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+
+def jsonl_errors(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """``(path, line, text)`` of the lines that do not fit the schema; blank lines are none, but count."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = numbered_lines(spark, path)
+    bad = _parsed("text", schema)[CORRUPT].isNotNull()
+    return lines.where((F.length(py_strip("text")) > 0) & bad)
+
+
 def read_jsonl(
     spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True
 ) -> DataFrame:
     """JSON lines with a declared schema; blank lines are ignored.
 
-    ``strict`` fails the job on a malformed line, otherwise the line is kept in
-    ``_corrupt_record`` next to null fields.
+    ``strict`` looks at all lines first and raises an error with path and number of the
+    first malformed ones; otherwise such a line is kept in ``_corrupt_record`` next to null
+    fields.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    reader = spark.read.option("mode", "FAILFAST")
-    if not strict:
-        schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-        reader = spark.read.option("mode", "PERMISSIVE").option(
-            "columnNameOfCorruptRecord", "_corrupt_record"
-        )
+    if strict:
+        bad = jsonl_errors(spark, path, schema).orderBy("path", "line").limit(5).collect()
+        if bad:
+            raise ValueError("; ".join(f"{r.path} line {r.line}: malformed JSON record" for r in bad))
+        return spark.read.option("mode", "FAILFAST").schema(schema).json(path)
+    schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     return reader.schema(schema).json(path)

@@ -1,7 +1,10 @@
 """Conversations, run events and their streams."""
 
+import random
 import time
 
+import pytest
+
 from docweave.operators import conversations as C
 from docweave.operators import runs as E
 from docweave.streaming import ingest as I
@@ -36,6 +39,18 @@ def test_append_is_atomic_and_idempotent(spark):
     assert history == {1: [], 2: ["user"], 3: ["user", "assistant"], 4: ["assistant", "user"]}
 
 
+@pytest.mark.parametrize("bucket", [1, 3, 4096])
+def test_history_over_sparse_buckets(spark, monkeypatch, bucket):
+    """Buckets with fewer messages than the window send each other as many as are missing."""
+    monkeypatch.setattr(C, "TURN_BUCKET", bucket)
+    rng = random.Random(bucket)
+    turns = {c: sorted(rng.sample(range(60), rng.choice((1, 7, 40)))) for c in "abcd"}
+    rows = [(f"{c}{t}", c, "r", t, rng.choice(("user", "agent")), f"{c}-{t}", None, None, t) for c, ts in turns.items() for t in ts]
+    for n in (0, 1, 4):
+        got = {(r.conversation_id, r.turn_index): [h.content for h in r.history] for r in C.prior_history(spark.createDataFrame(rows, MESSAGE), n).collect()}
+        assert got == {(c, t): [f"{c}-{x}" for x in ts[max(0, i - n) : i]] for c, ts in turns.items() for i, t in enumerate(ts)}
+
+
 def test_run_rules(spark):
     events = spark.createDataFrame(EVENTS, EVENT)
     runs = spark.createDataFrame([("r1",), ("r2",), ("r3",), ("r4",)], "run_id string")

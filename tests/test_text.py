@@ -246,3 +246,40 @@ def test_read_jsonl(spark, tmp_path):
     assert sorted((r.a for r in loose), key=str) == [1, 2, None]
     with pytest.raises(Exception, match="Malformed|MALFORMED|FAILFAST|malformed"):
         S.read_jsonl(spark, str(path), "a int").collect()
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_bad_lines_are_named(spark, tmp_path, ending):
+    """Line numbers over many splits of several files, blank lines counted."""
+    want = {}
+    for name in ("a", "b", "c"):
+        lines = []
+        for i in range(1, 400):
+            bad = i % 97 == 0 or (name == "b" and i == 1)
+            lines.append("{broken" if bad else "  " if i % 5 == 0 else '{"a": %d, "text": "%s"}' % (i, "é" * (i % 31)))
+            if bad:
+                want[name, i] = "{broken"
+        (tmp_path / f"{name}.jsonl").write_bytes(ending.join(lines).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        lines = S.numbered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 20
+        rows = S.jsonl_errors(spark, str(tmp_path), "a int, text string").collect()
+        with pytest.raises(ValueError, match=r"a.jsonl line 97: malformed.*a.jsonl line 194"):
+            S.read_jsonl(spark, str(tmp_path), "a int, text string")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {(r.path.rsplit("/", 1)[-1][0], r.line): r.text for r in rows} == want
+    loose = S.read_jsonl(spark, str(tmp_path), "a int, text string", strict=False).collect()
+    assert sum(r._corrupt_record is None for r in loose) == 3 * (399 - 79 - 4) - 1
+
+
+def test_pages_without_numbers(spark):
+    rows = [("a", 1, "one"), ("a", None, "zz"), ("a", 2, "two"), ("a", None, "yy"), ("a", 2, "twin"), ("b", None, None), ("b", 700, "far")]
+    pages = spark.createDataFrame(rows, "document_id string, page int, text string")
+    placed = {(r.document_id, r.text): r.page_start for r in S.place_pages(pages)[0].collect()}
+    assert placed == {("a", "yy"): 0, ("a", "zz"): 3, ("a", "one"): 6, ("a", "twin"): 10, ("a", "two"): 15, ("b", None): 0, ("b", "far"): 0}
+    assert {r.document_id: r.raw_text for r in S.assemble_pages(pages).collect()} == {"a": "yy\nzz\none\ntwin\ntwo", "b": "far"}
