@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import map_groups, worker_cache
+from docweave.llm.common import map_groups, release, worker_cache
 from docweave.session import store
 
 #: Links of one block, and bytes of text that are tokenised at once; single documents may be longer.
@@ -245,6 +245,8 @@ def _blocks(docs: DataFrame, files: tuple, detail: bool, block_links: int) -> Da
                 block, rows, links, held = block + 1, [], [], 0
         if rows:
             yield from close()
+        rows, links = [], []
+        release()
 
     counts = ", ".join(f"{name} bigint" for name, _ in _COUNTS)
     ddl = f"block bigint, {counts}, groups_sha256 string, links binary, number bigint, pair bigint, n bigint"

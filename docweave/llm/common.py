@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 from collections.abc import Callable, Iterator
@@ -50,6 +51,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    release()
+
+
+def release() -> None:
+    """At the end of a task: give freed memory back, since Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not a GNU C library
 
 
 def worker_cache(name: str) -> dict:
@@ -176,6 +187,8 @@ def map_groups(
             close()
         if out[0]:
             yield to_batch(out, schema)
+        held, out = [], []
+        release()
 
     dealt = df.repartition(*keys) if parts is None else df.repartition(parts, *keys)
     return dealt.sortWithinPartitions(*keys).mapInArrow(run, ddl)
