@@ -120,35 +120,69 @@ def test_local_subgraph_with_type(spark, depth):
 
 
 def community_model(edges):
-    """The rounds restated over plain dictionaries."""
+    """The rounds restated over plain dictionaries: (labels, rounds, modularity)."""
     w = defaultdict(Counter)
     for a, b, _, s, _i in edges:
         if a != b:
             w[a][b] += s
             w[b][a] += s
     own = {n: sum(w[n].values()) for n in w}
-    label = {n: n for n in w}
-    for turn in range(G.ROUNDS):
+    whole = sum(own.values())
+
+    def loads(label):
         load = Counter()
         for n in w:
             load[label[n]] += own[n]
-        chosen = {}
+        return load
+
+    def quality(label):
+        inside = sum(x for n in w for m, x in w[n].items() if label[n] == label[m])
+        return inside * whole - sum(x * x for x in loads(label).values())
+
+    label, turn = {n: n for n in w}, 0
+    while True:
+        load, moves = loads(label), {}
         for n in w:
             pull = Counter({label[n]: 0})
             for m, x in w[n].items():
                 pull[label[m]] += x
-            score = {o: x * sum(own.values()) - (load[o] - (own[n] if o == label[n] else 0)) * own[n] for o, x in pull.items()}
-            chosen[n] = min(score, key=lambda o: (-score[o], o))
-        label = {n: chosen[n] if hashlib.md5(f"{n}:{turn}".encode()).hexdigest() < "8" else label[n] for n in w}
-    return label
+            score = {o: x * whole - (load[o] - (own[n] if o == label[n] else 0)) * own[n] for o, x in pull.items()}
+            choice = min(score, key=lambda o: (-score[o], o))
+            if score[choice] > score[label[n]]:
+                moves[n] = (choice, score[choice] - score[label[n]])
+        if not moves:
+            return label, turn, quality(label) / whole**2
+        half = {n: moves[n][0] if n in moves and hashlib.md5(f"{n}:{turn}".encode()).hexdigest() < "8" else label[n] for n in w}
+        if quality(half) > quality(label):
+            label = half
+        else:
+            first = {}
+            for n, (choice, gain) in sorted(moves.items(), key=lambda m: (-m[1][1], m[0])):
+                first.setdefault(label[n], n)
+                first.setdefault(choice, n)
+            after = {n: moves[n][0] if n in moves and first[label[n]] == n == first[moves[n][0]] else label[n] for n in w}
+            assert quality(after) > quality(label)
+            label = after
+        turn += 1
 
 
 def test_communities_match_the_rounds(spark):
     edges = [e for part in range(4) for e in [(f"{part}{a}", f"{part}{b}", t, s, f"{part}{i}") for a, b, t, s, i in random_edges(14, 22, part)]]
     names = sorted({n for e in edges for n in e[:2]})
     nodes = spark.createDataFrame([(n, n, 1) for n in names], "canonical_id string, canonical_name string, source_entity_count int")
-    members, _ = G.topic_communities(nodes, spark.createDataFrame(edges, EDGES), 20)
-    assert {r.canonical_id: r.label for r in members.collect()} == community_model(edges)
+    found = G.find_communities(nodes, spark.createDataFrame(edges, EDGES))
+    label, rounds, modularity = community_model(edges)
+    assert {r.canonical_id: r.label for r in found.members.collect()} == label
+    assert found.rounds == rounds and abs(found.modularity - modularity) < 1e-12 and modularity > 0.3
+
+
+def test_long_chain_comes_to_rest(spark):
+    """A chain of 60 nodes: no round bound cuts the search off, and no single move would still gain."""
+    edges = [(f"n{i:02d}", f"n{i + 1:02d}", "t", 1, f"e{i}") for i in range(59)]
+    nodes = spark.createDataFrame([(f"n{i:02d}", "x", 1) for i in range(60)], "canonical_id string, canonical_name string, source_entity_count int")
+    found = G.find_communities(nodes, spark.createDataFrame(edges, EDGES))
+    label, rounds, _ = community_model(edges)
+    assert {r.canonical_id: r.label for r in found.members.collect()} == label and found.rounds == rounds
 
 
 def test_communities_of_no_edges(spark):
