@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
     re.S,
 )
+_OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
@@ -54,6 +56,7 @@ BLOCKS = SPACED | frozenset(
     "address article aside body center dd details dialog div dt figcaption footer form header hgroup html legend li main nav optgroup "
     "option search section summary caption tr td th thead tbody tfoot".split()
 )
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Start tags that end an open paragraph.
 ENDS_P = BLOCKS - frozenset("body html optgroup option caption tr td th thead tbody tfoot".split())
 #: Start tag: (open elements it ends, elements at which the search stops).
@@ -75,7 +78,7 @@ IMPLIED_END = {
 }
 #: End tags do not reach out of these.
 SCOPES = frozenset("table td th caption html".split())
-#: Cells longer than this are not padded to, so that padding stays in proportion.
+#: Lines of cells are wrapped at this width, so that padding stays in proportion.
 WIDEST = 60
 MOST_COLUMNS = 1000
 
@@ -151,26 +154,49 @@ class Table:
                 self.reserved[c] = down
 
     def layout(self) -> list[str]:
+        """Aligned lines. Long lines are wrapped between words; a word wider than a column may
+        be has its line to itself, and the cells to its right begin below it."""
+        rows = [[(column, across, _wrapped(lines)) for column, across, lines in row] for row in self.rows]
         widths: dict[int, int] = {}
-        for row in self.rows:
+        for row in rows:
             for column, across, lines in row:
                 if across == 1:
                     widest = max((len(x) for x in lines if len(x) <= WIDEST), default=0)
                     widths[column] = max(widths.get(column, 0), widest)
         out = list(self.caption)
-        for row in self.rows:
-            for k in range(max((len(lines) for _, _, lines in row), default=0)):
-                parts, at, column = [], 0, 0
-                for start, _, lines in row:
+        for row in rows:
+            begins, below = [], 0
+            for _, _, lines in row:
+                begins.append(below)
+                below += max((k + 1 for k, x in enumerate(lines) if len(x) > WIDEST), default=0)
+            for k in range(max((b + len(lines) for b, (_, _, lines) in zip(begins, row, strict=True)), default=0)):
+                parts, have, at, column = [], 0, 0, 0
+                for begin, (start, _, lines) in zip(begins, row, strict=True):
                     at += sum(widths.get(c, 0) + 2 for c in range(column, start))
                     column = start
-                    if k < len(lines) and lines[k]:
-                        have = sum(map(len, parts))
-                        parts.append(" " * (at - have if at >= have else 2 * bool(parts)) + lines[k])
+                    if 0 <= k - begin < len(lines) and lines[k - begin]:
+                        parts.append(" " * (at - have if at >= have else 2 * bool(parts)) + lines[k - begin])
+                        have += len(parts[-1])
                 out.append("".join(parts).rstrip(" "))
         return out
 
 
+def _wrapped(lines: list[str]) -> list[str]:
+    out = []
+    for x in lines:
+        while len(x) > WIDEST:
+            at = x.rfind(" ", 0, WIDEST + 1)
+            if not x[: max(at, 0)].strip(" "):
+                lead = len(x) - len(x.lstrip(" "))
+                at = x.find(" ", max(WIDEST, lead))
+            if at < 0:
+                break
+            out.append(x[:at])
+            x = x[at:].lstrip(" ")
+        out.append(x)
+    return out
+
+
 class Element:
     __slots__ = ("tag", "hidden", "veiled", "foreign", "mute", "pre", "box", "table", "kind", "number", "marker", "spans", "options", "listed", "chosen", "label")
 
@@ -207,6 +233,7 @@ class Renderer:
     def __init__(self):
         root = Element("html", None)
         self.stack = [root]
+        self.open = Counter(["html"])  # tags of the stack
         self.counts = {"blocks": 0, "items": 0, "cells": 0, "tables": 0, "hidden": 0}
 
     @property
@@ -215,6 +242,7 @@ class Renderer:
 
     def pop(self) -> None:
         e = self.stack.pop()
+        self.open[e.tag] -= 1
         parent = self.stack[-1]
         if e.hidden:
             return
@@ -255,11 +283,13 @@ class Renderer:
             parent.box.block(self.gap(e.tag))
 
     def gap(self, tag: str) -> int:
-        nested = tag in ("ul", "ol", "menu") and any(x.tag == "li" for x in self.stack)
+        nested = tag in ("ul", "ol", "menu") and self.open["li"] > 0
         return int(tag in SPACED and not nested)
 
     def end_until(self, tags: frozenset, stops: frozenset) -> None:
         """End the outermost open element of ``tags`` this side of ``stops``."""
+        if not any(self.open[t] for t in tags):
+            return
         last = None
         for k in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[k].tag
@@ -280,13 +310,13 @@ class Renderer:
             self.pop()
         while self.top.foreign and tag in ENDS_FOREIGN:
             self.pop()
-        if tag in ("select", "input", "textarea") and any(x.tag == "select" for x in self.stack):
+        if tag in ("select", "input", "textarea") and self.open["select"]:
             self.end_until(frozenset(["select"]), frozenset())
             if tag == "select":
                 return None
-        if tag == "head" and len(self.stack) > 1 or tag == "body" and any(x.tag == "body" for x in self.stack):
+        if tag == "head" and len(self.stack) > 1 or tag == "body" and self.open["body"]:
             return None
-        if tag in ENDS_P and any(x.tag == "p" for x in self.stack):
+        if tag in ENDS_P and self.open["p"]:
             self.end_until(frozenset(["p"]), SCOPES | {"button"})
         if tag in IMPLIED_END:
             self.end_until(*IMPLIED_END[tag])
@@ -317,6 +347,7 @@ class Renderer:
         if tag in VOID or e.foreign and _CLOSED.search(raw):
             return None
         self.stack.append(e)
+        self.open[tag] += 1
         return e
 
     def enter(self, e: Element, names: dict[str, str]) -> None:
@@ -326,9 +357,9 @@ class Renderer:
         elif tag == "select":
             e.box, e.pre, e.options = Box(), False, []
             e.listed = "multiple" in names or _whole(names.get("size"), 1, 0, 10**6) > 1
-        elif tag == "option" and any(x.tag == "select" for x in self.stack):
+        elif tag == "option" and self.open["select"]:
             e.box, e.chosen, e.label = Box(), "selected" in names, "" if e.veiled else names.get("label", "")
-        elif tag == "optgroup" and any(x.tag == "select" for x in self.stack):
+        elif tag == "optgroup" and self.open["select"]:
             e.kind = "optgroup"
             if names.get("label") and not e.veiled:
                 e.options.append((False, True, names["label"]))
@@ -372,12 +403,14 @@ class Renderer:
         if tag in ("html", "body"):
             return
         if tag in ("p", "br"):
-            if tag == "br" or not any(x.tag == "p" for x in self.stack):
+            if tag == "br" or not self.open["p"]:
                 if not self.top.hidden:
                     self.top.box.end_line(True) if tag == "br" else self.top.box.block(1)
                 return
         stops = frozenset(["table"]) if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else frozenset() if tag == "table" else SCOPES
-        heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        heading = tag in HEADINGS
+        if not any(self.open[t] for t in (HEADINGS if heading else (tag,))):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             name = self.stack[k].tag
             if name == tag or heading and len(name) == 2 and name[0] == "h" and name[1].isdigit():
@@ -417,16 +450,17 @@ def render(source: str | None) -> tuple[str, dict[str, int]]:
     """(text, counts of blocks, list items, cells, tables and hidden subtrees)."""
     r = Renderer()
     source = source or ""
-    at = 0
+    at, last = 0, source.rfind(">")
     while at < len(source):
-        m = _TOKEN.search(source, at)
+        # Behind the last > nothing but an open comment is markup.
+        m = _TOKEN.search(source, at) if at <= last else _OPEN_COMMENT.search(source, at)
         if m is None:
             r.characters(source[at:])
             break
         if m.start() > at:
             r.characters(source[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        if m.re is _OPEN_COMMENT or m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 
@@ -237,3 +238,52 @@ def test_classifier_odd_rows(odd_docs, no_docs):
     rows = classifier.classify(odd_docs).collect()
     assert len(rows) == 8 and all(not r.kept for r in rows if r.doc_id in (1, 2, 3))
     assert classifier.classify(no_docs).count() == 0 and classifier.keep_good(no_docs).count() == 0
+
+
+def test_deep_and_open_markup_takes_linear_time():
+    for source, want in (("<div>" * 50000 + "x", "x"), ("<a " * 50000, None), ("<div>" * 20000 + "</x>" * 20000 + "y", "y"), ("<i>" * 50000 + "<li>z" * 100, None)):
+        begin = time.process_time()
+        text, _ = render.render(source)
+        assert time.process_time() - begin < 5, source[:20]
+        assert want is None or text.strip() == want
+    assert render.render("a <b")[0] == "a <b" and render.render("a <!-- b")[0].strip() == "a"
+
+
+def test_wide_cells_keep_the_columns_aligned():
+    long, word = "many words " * 12, "w" * 90
+    text, _ = render.render(f"<table><tr><td>{long}<td>right<tr><td>short<td>below<tr><td>{word}<td>after<tr><td>a<td>b</table>")
+    lines = text.split("\n")
+    places = {w: next(x.index(w) for x in lines if w in x.split()) for w in ("right", "below", "after")}
+    assert len(set(places.values())) == 1 and max(map(len, lines)) <= 90
+    assert text.split().count("many") == 12 and word in lines and lines.index(word) < next(k for k, x in enumerate(lines) if "after" in x)
+
+
+def test_every_visible_text_stands_once_in_order():
+    """Random trees: what a plain walk calls visible is what the text holds, in this order."""
+    rng = random.Random(4)
+
+    def tree(depth):
+        kind = rng.choice(["text"] * 3 + ["div", "span", "p", "ul", "table", "b", "blockquote", "hidden", "script"])
+        if kind == "text" or depth > 5:
+            word = f"w{rng.randrange(10**9)}"
+            return f" {word} ", [word]
+        if kind == "script":
+            return f"<script>s{rng.randrange(99)} < </script>", []
+        if kind == "table":
+            rows = [[f"c{rng.randrange(10**9)}" for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 3))]
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>", [c for r in rows for c in r]
+        parts = [tree(depth + 1) for _ in range(rng.randint(0, 4))]
+        inner, words = "".join(p[0] for p in parts), [w for p in parts for w in p[1]]
+        if kind == "hidden":
+            return f"<div style='display:none'>{inner}</div>", []
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{p[0]}" for p in parts) + "</ul>", words
+        if kind in ("p", "span", "b"):  # blocks inside of them would end them early
+            words = [f"t{rng.randrange(10**9)}"]
+            return f"<{kind}>{words[0]}</{kind}> ", words
+        return f"<{kind}>{inner}</{kind}>", words
+
+    for _ in range(300):
+        parts = [tree(0) for _ in range(5)]
+        text, _ = render.render("".join(p[0] for p in parts))
+        assert [w for w in text.split() if w != "-"] == [w for p in parts for w in p[1]]
