@@ -7,6 +7,7 @@ from docweave.plans import (
     extraction_queries,
     graph_queries,
     metric_queries,
+    model_queries,
     network_queries,
     resolution_queries,
     retrieval_queries,
@@ -22,6 +23,7 @@ _MODULES = (
     text_queries,
     conversation_queries,
     metric_queries,
+    model_queries,
 )
 
 
