@@ -95,11 +95,32 @@ class EvidenceViews:
     facts: DataFrame
     nodes: DataFrame
     edges: DataFrame
+    min_confidence: float = MIN_CONFIDENCE
 
     def facts_from(self, min_confidence: float | None = MIN_CONFIDENCE) -> DataFrame:
         return self.facts if min_confidence is None else confident(self.facts, min_confidence)
 
 
+    def scoped(self, documents: DataFrame | str) -> EvidenceViews:
+        """The projection of some documents only: an id, or ``documents(document_id)``.
+
+        Nodes, edges, their counts and lists then rest on the evidence of these documents.
+        ``canonicals`` names come from the stored nodes.
+        """
+        live, accepted, facts = (in_documents(v, documents) for v in (self.live, self.accepted, self.facts))
+        names = self.nodes.select("canonical_id", "canonical_name", "entity_type")
+        return EvidenceViews(live, accepted, facts, canonical_nodes(accepted, names), canonical_edges(confident(facts, self.min_confidence)), self.min_confidence)
+
+
+def in_documents(rows: DataFrame, documents: DataFrame | str | None) -> DataFrame:
+    """Rows of one document or of a table of them; all rows without a scope."""
+    if documents is None:
+        return rows
+    if isinstance(documents, str):
+        return rows.where(F.col("document_id") == documents)
+    return rows.join(documents.select("document_id"), "document_id", "left_semi")
+
+
 def confident(facts: DataFrame, min_confidence: float) -> DataFrame:
     return facts.where(F.coalesce("confidence", F.lit(0.0)) >= min_confidence)
 
@@ -120,7 +141,7 @@ def store_views(tables: Mapping[str, DataFrame], min_confidence: float = MIN_CON
         facts = store_bucketed(eligible_relations(accepted, tables["relations"], live, None), "facts", "document_id")
         nodes = store(canonical_nodes(accepted, tables["canonicals"]), "nodes")
         edges = store(canonical_edges(confident(facts, min_confidence)), "edges")
-    return EvidenceViews(live, accepted, facts, nodes, edges)
+    return EvidenceViews(live, accepted, facts, nodes, edges, min_confidence)
 
 
 def canonical_nodes(accepted: DataFrame, canonicals: DataFrame, alias_limit: int = ALIAS_LIMIT) -> DataFrame:
@@ -208,17 +229,18 @@ def coverage(
     resolutions: DataFrame,
     relations: DataFrame,
     mentions: DataFrame,
-    document_id: str | None = None,
+    document_id: DataFrame | str | None = None,
     min_confidence: float = MIN_CONFIDENCE,
     by_document: bool = False,
     views: EvidenceViews | None = None,
 ) -> DataFrame:
     """The eight coverage counters, over everything or per document.
 
+    ``document_id`` limits them to one document or to a table of documents.
+
     With stored ``views`` of these tables the evidence is not checked again.
     """
-    scope = (lambda df: df) if document_id is None else (lambda df: df.where(F.col("document_id") == document_id))
-    entities = scope(entities)
+    entities = in_documents(entities, document_id)
     group = ["document_id"] if by_document else []
     own = F.col("resolution_status")
     sources = entities.groupBy(*group).agg(
@@ -226,13 +248,13 @@ def coverage(
         F.count_if(own == "review").alias("review_source_entity_count"),
         F.count_if(own == "unresolved").alias("unresolved_source_entity_count"),
     )
-    accepted = accepted_resolutions(entities, resolutions, mentions) if views is None else scope(views.accepted)
+    accepted = accepted_resolutions(entities, resolutions, mentions) if views is None else in_documents(views.accepted, document_id)
     linked = accepted.groupBy(*group).agg(F.count(F.lit(1)).alias("accepted_source_entity_count"))
     owner = entities.select(F.col("entity_id").alias("source_id"), "document_id")
     total = relations.join(owner, "source_id").groupBy(*group).agg(
         F.count(F.lit(1)).alias("source_relation_count")
     )
-    facts = eligible_relations(accepted, relations, mentions, min_confidence) if views is None else scope(views.facts_from(min_confidence))
+    facts = eligible_relations(accepted, relations, mentions, min_confidence) if views is None else in_documents(views.facts_from(min_confidence), document_id)
     eligible = facts.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_eligible"),
         F.count_if(F.col("source_canonical_id") == F.col("target_canonical_id")).alias(

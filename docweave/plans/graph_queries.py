@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
+from docweave.operators import graph as N
 from docweave.operators import projection as P
+from docweave.operators.ordering import stack_counters
 from docweave.plans.derived import graph_tables, graph_views
 
 GRAPH_SQL = """
@@ -74,6 +78,10 @@ WITH lines AS (
 """
 
 
+def canonical_id_of(key: str) -> str:
+    return "canonical:v1:" + hashlib.sha256(key.encode()).hexdigest()
+
+
 class Graph:
     """The derived tables and the shared views over them."""
 
@@ -168,6 +176,32 @@ def canonical_search(spark, sf_dir):
     )
 
 
+def _urgent(g):
+    return g.t["documents"].where("name = '1-URGENT'").select("document_id")
+
+
+def scoped_search(spark, sf_dir):
+    """Search over the evidence of urgent orders only."""
+    g = Graph(spark, sf_dir)
+    v = g.views.scoped(_urgent(g))
+    found = P.canonical_search(v.accepted, g.t["canonicals"], v.facts_from(), "RING", 5)
+    return found.select("canonical_id", "canonical_name", "document_count", "source_entity_count", "mention_count", "degree")
+
+
+def scoped_snapshot_totals(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    v = g.views.scoped(_urgent(g))
+    return P.bounded_snapshot(v.nodes, v.edges, 200, 400)[2]
+
+
+def scoped_coverage(spark, sf_dir):
+    """Coverage counters next to the subgraph of a canonical, within urgent orders."""
+    g = Graph(spark, sf_dir)
+    members, edges, _, counters = N.covered_subgraph(g.views, g.t, canonical_id_of("cold ring"), 1, 20, 30, _urgent(g))
+    sizes = stack_counters([members.agg(F.count(F.lit(1)).alias("members")), edges.agg(F.sum("support_count").alias("support"))])
+    return stack_counters([counters, sizes])
+
+
 def canonical_degrees(spark, sf_dir):
     return P.canonical_degrees(Graph(spark, sf_dir).facts())
 
@@ -217,6 +251,16 @@ _DEGREES = """
   SELECT canonical_id, count(*) AS degree FROM (""" + _ENDS.format("keys") + """) GROUP BY canonical_id
 )
 """
+_SCOPED = """
+, urgent AS (SELECT document_id FROM documents_g WHERE name = '1-URGENT'),
+center AS (SELECT 'canonical:v1:' || sha256('cold ring') AS id),
+in_scope AS (SELECT * FROM accepted WHERE document_id IN (SELECT document_id FROM urgent)),
+scoped_edges AS (
+  SELECT source_canonical_id, target_canonical_id, type, count(*) AS support_count,
+         'canonical-edge:v1:' || sha256(CAST(to_json([source_canonical_id, target_canonical_id, type]) AS VARCHAR)) AS edge_id
+  FROM proofs WHERE document_id IN (SELECT document_id FROM urgent) GROUP BY source_canonical_id, target_canonical_id, type
+)
+"""
 
 QUERIES = {
     "canonical_edges_top": (
@@ -301,5 +345,44 @@ QUERIES = {
         FROM hits JOIN accepted USING (canonical_id) JOIN canonicals c USING (canonical_id) LEFT JOIN degrees USING (canonical_id)
         GROUP BY ALL""",
     ),
+    "scoped_search": (
+        scoped_search,
+        GRAPH_SQL + _SCOPED
+        + """, hits AS (
+          SELECT canonical_id FROM canonicals c WHERE canonical_id IN (SELECT canonical_id FROM in_scope)
+            AND (contains(lower(canonical_name), 'ring')
+                 OR EXISTS (SELECT 1 FROM in_scope a WHERE a.canonical_id = c.canonical_id AND contains(lower(a.name), 'ring')))
+          ORDER BY canonical_id LIMIT 5
+        ), degrees AS (
+          SELECT canonical_id, count(*) AS degree FROM (SELECT source_canonical_id AS canonical_id FROM scoped_edges UNION ALL SELECT target_canonical_id FROM scoped_edges) GROUP BY 1
+        )
+        SELECT canonical_id, canonical_name, count(DISTINCT document_id) AS document_count, count(*) AS source_entity_count,
+               CAST(sum(coalesce(mention_count, 0)) AS BIGINT) AS mention_count, coalesce(any_value(degree), 0) AS degree
+        FROM hits JOIN in_scope USING (canonical_id) JOIN canonicals c USING (canonical_id) LEFT JOIN degrees USING (canonical_id) GROUP BY ALL""",
+    ),
+    "scoped_snapshot_totals": (
+        scoped_snapshot_totals,
+        GRAPH_SQL + _SCOPED
+        + """, kept AS (SELECT canonical_id FROM in_scope GROUP BY canonical_id ORDER BY canonical_id LIMIT 200
+        ), among AS (
+          SELECT * FROM scoped_edges WHERE source_canonical_id IN (SELECT canonical_id FROM kept) AND target_canonical_id IN (SELECT canonical_id FROM kept)
+        ), shown AS (SELECT * FROM among ORDER BY support_count DESC, edge_id LIMIT 400)
+        SELECT *, total_node_count > 200 AS node_truncated, total_edge_count > 400 AS edge_truncated FROM (
+          SELECT (SELECT count(DISTINCT canonical_id) FROM in_scope) AS total_node_count, (SELECT count(*) FROM among) AS total_edge_count,
+                 (SELECT CAST(coalesce(sum(support_count), 0) AS BIGINT) FROM shown) AS evidence_count)""",
+    ),
+    "scoped_coverage": (
+        scoped_coverage,
+        GRAPH_SQL + _SCOPED + _COVERAGE
+        + """, near AS (
+          SELECT id FROM (SELECT target_canonical_id AS id FROM scoped_edges WHERE source_canonical_id = (SELECT id FROM center)
+            UNION SELECT source_canonical_id FROM scoped_edges WHERE target_canonical_id = (SELECT id FROM center)) ORDER BY id LIMIT 19
+        ), members AS (SELECT id FROM near UNION SELECT id FROM center),
+        inside AS (SELECT support_count, edge_id FROM scoped_edges WHERE source_canonical_id IN (SELECT id FROM members) AND target_canonical_id IN (SELECT id FROM members)
+          ORDER BY support_count DESC, edge_id LIMIT 30)
+        SELECT """ + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _COUNTERS)
+        + """, (SELECT count(*) FROM members) AS members, (SELECT CAST(coalesce(sum(support_count), 0) AS BIGINT) FROM inside) AS support
+        FROM cover WHERE document_id IN (SELECT document_id FROM urgent)""",
+    ),
     "canonical_degrees": (canonical_degrees, GRAPH_SQL + _DEGREES + "SELECT * FROM degrees"),
 }
