@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as X
 from docweave.functions.markdown import checked_markers, sentences_of
-from docweave.functions.similarity import similarity_ratio
 from docweave.functions.tables import register_table_functions
 from docweave.operators import chunking as C
+from docweave.operators.fuzzy import similarity_ratio
 from docweave.sources import files as S
 from docweave.sources import tables
 
@@ -211,7 +211,7 @@ def test_similarity_is_directed(spark):
     from difflib import SequenceMatcher
 
     pairs = [("tide", "diet"), ("diet", "tide"), ("abc", "abc"), ("", "a")]
-    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity_ratio("a", "b").alias("r"))
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity_ratio()("a", "b").alias("r"))
     assert all(r.r == SequenceMatcher(None, r.a, r.b).ratio() for r in rows.collect())
 
 
