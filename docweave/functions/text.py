@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,8 +47,8 @@ def py_strip(column: Column | str) -> Column:
     return F.btrim(_col(column), F.lit(_BLANK_CHARS))
 
 
-@F.pandas_udf(T.StringType())
-def _normalize_unicode(names: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _normalize_unicode(names: pa.Array) -> pa.Array:
     def one(name):
         if name is None:
             return None
@@ -56,12 +56,12 @@ def _normalize_unicode(names: pd.Series) -> pd.Series:
         kept = (c for c in folded if unicodedata.category(c)[0] != "P")
         return " ".join("".join(kept).split())
 
-    return names.map(one)
+    return pa.array(map(one, names.to_pylist()), pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def _casefold_unicode(names: pd.Series) -> pd.Series:
-    return names.map(lambda name: None if name is None else name.casefold().strip())
+@F.arrow_udf(T.StringType())
+def _casefold_unicode(names: pa.Array) -> pa.Array:
+    return pa.array([None if name is None else name.casefold().strip() for name in names.to_pylist()], pa.string())
 
 
 def normalize_ascii(column: Column | str) -> Column:
