@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import slices, text_key
+from docweave.llm.common import release, slices, text_key
 from docweave.session import store
 
 #: (name, bad if the share is at least, good if it is at most); between them no vote.
@@ -153,6 +153,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict[int, float]
     rows = [(r.doc_id, r.t, np.frombuffer(r.buckets, np.uint16), np.frombuffer(r.shares, np.float32), posterior[r.pattern]) for r in train.toLocalIterator()]
     rows = [r[2:] for r in sorted(rows, key=lambda r: r[:2])]
     weights, bias = fit_scorer(rows)
+    del rows
+    release()  # the driver lives on
     return posterior, weights, bias
 
 

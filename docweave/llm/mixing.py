@@ -73,14 +73,16 @@ def mix_sizes(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies:
         .withColumn("cap", F.col("source_size") * most_copies)
         .withColumn("zero", F.lit(0))
     )
-    targets = water_fill(by_source, ["zero"], "need", "cap", "weight").select("source", "source_size", F.col("fill").alias("target"))
+    # A row per source, and per source and size class: stored, so that what reads them does not plan them again.
+    targets = store(water_fill(by_source, ["zero"], "need", "cap", "weight").select("source", "source_size", F.col("fill").alias("target")), "mix-targets")
     copies = (
         by_class.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
         .select("c.source", "class", "class_size", "source_size", "target")
         .withColumn("cap", F.col("class_size") * most_copies).withColumn("w", F.col("class_size") * F.col("class")).withColumn("ord", F.col("class"))
         .where("class_size > 0")
     )
-    expected = water_fill(copies, ["source"], "target", "cap", "w").select("source", "class", (F.col("fill") / F.col("class_size")).alias("expected"))
+    shares = water_fill(copies, ["source"], "target", "cap", "w").select("source", "class", (F.col("fill") / F.col("class_size")).alias("expected"))
+    expected = store(shares, "mix-expected")
     known = expected.withColumnsRenamed({"source": "s", "class": "k"})
     totals = targets.withColumnRenamed("source", "ts")
     rows = (

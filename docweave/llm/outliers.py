@@ -13,7 +13,6 @@ never gathered; one of any size is summed map-side.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,6 +95,8 @@ def _fits(sums: DataFrame) -> DataFrame:
     flat = ", ".join(["g string, start int, n double, mean array<double>, inverse array<double>, logdet double"])
 
     def run(frames):
+        import pandas as pd  # in tasks only, not in the driver
+
         for f in frames:
             rows = []
             for r in f.itertuples(index=False):
