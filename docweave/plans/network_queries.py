@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docweave.functions.text import confidence_class, degree_tier
@@ -10,7 +12,9 @@ from docweave.operators import metrics as Q
 from docweave.operators.ordering import stack_counters
 from docweave.plans import derived as D
 from docweave.plans.graph_queries import GRAPH_SQL, Graph
+from docweave.session import ensure_checkpoint_dir
 from docweave.sources import tables as S
+from docweave.sources.buckets import BucketTable
 
 
 def _first_source(g) -> str:
@@ -194,6 +198,16 @@ def upsert_effect(spark, sf_dir):
     return merged["relations"].groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 2).alias("total"))
 
 
+def bucketed_merge(spark, sf_dir):
+    """Customers in hash buckets; those in debt are merged again with a balance of zero."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/bucket-tables/{uuid.uuid4().hex}"
+    customers = D.table(spark, sf_dir, "customer")
+    table = BucketTable.create(customers, base, ["c_custkey"], 16)
+    table.merge(customers.where("c_acctbal < 0").withColumn("c_acctbal", F.lit(0.0)))
+    return table.read().select("c_custkey", "c_acctbal", "c_mktsegment")
+
+
 def duplicate_keys(spark, sf_dir):
     """Copies of (order, line number): the pair is not a key of the line table."""
     lines = D.graph_tables(spark, sf_dir)["lines"]
@@ -409,6 +423,7 @@ QUERIES = {
         purge_effect,
         GRAPH_SQL + _SIZES.format(docs="SELECT document_id FROM documents_g WHERE document_id LIKE '1%'", keep="true"),
     ),
+    "bucketed_merge": (bucketed_merge, "SELECT c_custkey, greatest(c_acctbal, 0.0) AS c_acctbal, c_mktsegment FROM customer"),
     "upsert_effect": (
         upsert_effect,
         GRAPH_SQL

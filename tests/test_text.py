@@ -15,6 +15,7 @@ from docweave.operators import chunking as C
 from docweave.operators.fuzzy import similarity_ratio
 from docweave.sources import files as S
 from docweave.sources import tables
+from docweave.sources.buckets import BucketTable
 
 
 def docs_of(spark, texts, kind="markdown"):
@@ -134,6 +135,37 @@ def test_long_documents_keep_all_pages(spark):
     assert starts == [sum(i % 5 + 1 for i in range(k)) for k in range(n)]
 
 
+def test_bucket_table_merges_touch_few_buckets(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(3000)], "k int, v string")
+    table = BucketTable.create(rows, str(tmp_path), ["k"], 64)
+    first = table.version()
+    assert first.number == 0 and len(first.folders) == 64 and table.read().count() == 3000
+    # Two replaced keys, one of them twice, and a new one.
+    incoming = spark.createDataFrame([(5, "old", 1), (5, "new", 2), (77, "x", 1), (9000, "y", 1)], "k int, v string, t int")
+    second = table.merge(incoming, ["t"])
+    changed = {b for b in range(64) if first.folders.get(b) != second.folders.get(b)}
+    assert second.number == 1 and 1 <= len(changed) <= 3
+    opened = set(table.rows_of(first, changed).inputFiles())
+    assert len(opened) <= 3 < len(table.read(0).inputFiles())
+    got = {r.k: r.v for r in table.read().collect()}
+    assert len(got) == 3001 and (got[5], got[77], got[9000], got[6]) == ("new", "x", "y", "v6")
+    assert {r.k: r.v for r in table.read(0).collect()} == {i: f"v{i}" for i in range(3000)}
+    # A job that ends between writing and publishing leaves the old version; a second writer of a version fails.
+    table.write(incoming.select("k", "v"), second)
+    assert table.version().number == 1 and table.read().count() == 3001
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        table.publish(first, table.write(incoming.select("k", "v"), first), [1])
+    assert table.merge(incoming.limit(0)).number == 1
+
+
+def test_empty_bucket_table(spark, tmp_path):
+    rows = spark.createDataFrame([], "k int, v string")
+    table = BucketTable.create(rows, str(tmp_path), ["k"], 8)
+    assert table.read().count() == 0 and table.version().folders == {}
+    table.merge(spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string"))
+    assert sorted(map(tuple, table.read().collect())) == [(1, "a"), (2, "b")]
+
+
 def test_merge_keeps_the_last_of_equal_keys(spark):
     old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, t int")
     new = spark.createDataFrame([(2, "y", 2), (2, "x", 1), (3, "z", 1), (3, "z", 1)], old.schema)
