@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.markdown import sanitize_markers
 from docweave.functions.text import CITATION_TYPE, location_string
+from docweave.operators.ordering import bucketed_row_number, first_rows
 
 # Refusal text, section heads and snippet length of a context.
 NO_EVIDENCE_ANSWER = "根据现有资料无法回答。"
@@ -21,11 +22,27 @@ SYSTEM_PROMPT = (
 HISTORY_GUARD = " Earlier turns only explain the question; never cite them."
 
 
-def build_context(hits: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def ranked_paths(paths: DataFrame) -> DataFrame:
+    """``(query_id, path_rank, line)``: the relation lines of each question as rows, in
+    (-support, path_id) order. Ranks are counted by powers of two of the support, so a question
+    with very many paths is spread over tasks."""
+    line = F.concat("source_name", F.lit(" -["), "type", F.lit("]-> "), "target_name")
+    rows = paths.select("query_id", "support_count", "path_id", line.alias("line"))
+    numbered = bucketed_row_number(rows, ["query_id"], _path_order(), -F.length(F.bin("support_count")), "path_rank")
+    return numbered.select("query_id", "path_rank", "line")
+
+
+def _path_order() -> list[Column]:
+    return [F.desc("support_count"), F.col("path_id")]
+
+
+def build_context(hits: DataFrame, paths: DataFrame | None = None, path_limit: int | None = None) -> DataFrame:
     """``(query_id, context, citations)`` from numbered hits and relation paths.
 
     ``hits`` carry ``citation_index`` and their provenance columns; a question has at most
-    the reranked few. Paths follow in (-support, path_id) order.
+    the reranked few. Paths follow in (-support, path_id) order, with ``path_limit`` only the
+    first ones, which are found in the tasks before the shuffle. Without it a question's lines
+    have no bound, as its prompt has none (``ranked_paths`` gives them as rows).
     """
     line = F.concat(F.lit("["), F.col("citation_index").cast("string"), F.lit("] "), F.col("text"))
     citation = F.struct(
@@ -42,6 +59,8 @@ def build_context(hits: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     )
     if paths is None:
         return context
+    if path_limit is not None:
+        paths = first_rows(paths, ["query_id"], _path_order(), path_limit).drop("_rank")
     arrow = F.concat("source_name", F.lit(" -["), "type", F.lit("]-> "), "target_name")
     listed = paths.groupBy("query_id").agg(
         F.sort_array(

@@ -69,6 +69,19 @@ def test_unsound_vectors_take_no_part(spark):
     assert R.vector_topk(queries.limit(0), chunks, 3).count() == 0 == R.vector_topk(queries, chunks.limit(0), 3).count()
 
 
+def test_paths_of_a_context(spark):
+    """Limited contexts hold the first of the ranked lines; the rows hold all of them."""
+    rows = [("q", f"p{i:03d}", f"s{i}", "uses", "t", 1 + i * 7 % 40) for i in range(200)] + [("z", "p", "a", "b", "c", 3)]
+    paths = spark.createDataFrame(rows, "query_id string, path_id string, source_name string, type string, target_name string, support_count bigint")
+    hits = spark.createDataFrame([("q", 1, "c", "d", "text", 0, 4, None, [])], "query_id string, citation_index int, chunk_id string, document_id string, text string, char_start int, char_end int, page int, heading_path array<string>")
+    want = [f"{r[2]} -[uses]-> t" for r in sorted(rows[:-1], key=lambda r: (-r[5], r[1]))]
+    ranked = {r.path_rank: r.line for r in A.ranked_paths(paths).where("query_id = 'q'").collect()}
+    assert [ranked[i] for i in range(1, 201)] == want
+    for limit, lines in ((None, want), (7, want[:7])):
+        context = A.build_context(hits, paths, limit).first().context
+        assert context.partition(A.PATH_HEAD + "\n")[2].split("\n") == lines
+
+
 def test_rerank_falls_back(spark):
     hits = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("p", "a", 1), ("p", "b", 2)], "query_id string, chunk_id string, rank int")
     scored = spark.createDataFrame([("q", "a", 0.1), ("q", "b", 0.9), ("p", "a", None), ("p", "b", 0.9)], "query_id string, chunk_id string, relevance double")
