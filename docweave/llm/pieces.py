@@ -30,7 +30,8 @@ SPACE = "▁"
 UNIT = 1_000_000
 #: Below the worst piece by so much is a character that has no piece.
 UNKNOWN_PENALTY = 10 * UNIT
-MEMO = 800_000
+#: Units that a worker remembers, and their characters, before it forgets all of them: about 0.5 KB a unit.
+MEMO, MEMO_CHARS = 200_000, 4_000_000
 _NEVER = -(1 << 62)
 
 
@@ -212,10 +213,10 @@ def _combine(choices: list[tuple[int, list[int]]], n: int) -> list[tuple[int, tu
     return sums
 
 
-def _memory(v: Vocabulary, n: int) -> dict[str, dict]:
+def _memory(v: Vocabulary, n: int) -> dict:
     memo = worker_cache(f"pieces:{v.name}:{n}")
-    if not memo or len(memo["ids"]) > MEMO:
-        memo.update(ids={}, unknown={}, loss={}, listed={})
+    if not memo or len(memo["ids"]) > MEMO or memo["chars"] > MEMO_CHARS:
+        memo.update(ids={}, unknown={}, loss={}, listed={}, chars=0)
     return memo
 
 
@@ -224,7 +225,9 @@ def encode_batch(texts: list[str | None], v: Vocabulary, n: int) -> list[tuple[i
     memo = _memory(v, n)
     units = [v.units(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
     distinct = list(map(set, units))
-    viterbi(set().union(*distinct).difference(memo["ids"]), v, memo)
+    new = set().union(*distinct).difference(memo["ids"])
+    memo["chars"] += sum(map(len, new))
+    viterbi(new, v, memo)
     return [encode_units(u, d, v, n, memo) for u, d in zip(units, distinct, strict=True)]
 
 

@@ -49,6 +49,21 @@ def test_n_best_equals_brute_force(vocabulary, text):
     assert all(pieces.decode_ids(list(ids), vocabulary) == text for _, ids in got)
 
 
+@needs_model
+def test_memory_of_units_is_bounded(vocabulary):
+    """Long words count by their characters; what is forgotten is found again, with the same ids."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    batches = [[" ".join(word(4000) for _ in range(40)) for _ in range(4)] for _ in range(10)]
+    first = pieces.encode_batch(batches[0], vocabulary, 1)
+    for batch in batches[1:]:
+        pieces.encode_batch(batch, vocabulary, 1)
+        held = pieces.worker_cache(f"pieces:{vocabulary.name}:1")["ids"]
+        assert sum(map(len, held)) <= 4_000_000 + sum(map(len, batch))
+    again = pieces.encode_batch(batches[0], vocabulary, 1)
+    assert [(s, b.tolist()) for s, b, _ in again] == [(s, b.tolist()) for s, b, _ in first]
+
+
 @needs_model
 def test_encode_odd_rows(odd_docs, no_docs):
     rows = pieces.encode_n_best(odd_docs, MODEL, 3).collect()
