@@ -185,6 +185,23 @@ def test_long_chain_comes_to_rest(spark):
     assert {r.canonical_id: r.label for r in found.members.collect()} == label and found.rounds == rounds
 
 
+def test_small_graphs_move_in_one_task(spark, monkeypatch):
+    """The rounds on arrays and those of joins take the same steps; on arrays no round writes a table."""
+    edges = [e for part in range(3) for e in [(f"{part}{a}", f"{part}{b}", t, s, f"{part}{i}") for a, b, t, s, i in random_edges(9, 14, part + 7)]]
+    names = sorted({n for e in edges for n in e[:2]})
+    nodes = spark.createDataFrame([(n, n, 1) for n in names], "canonical_id string, canonical_name string, source_entity_count int")
+    stored, ends = [], []
+    real = G.store
+    monkeypatch.setattr(G, "store", lambda df, name: stored.append(name) or real(df, name))
+    for most in (G.ONE_TASK_PAIRS, 0):
+        monkeypatch.setattr(G, "ONE_TASK_PAIRS", most)
+        found = G.find_communities(nodes, spark.createDataFrame(edges, EDGES))
+        ends.append((sorted(map(tuple, found.members.collect())), found.rounds, found.modularity))
+        if most:
+            assert stored == ["pairs", "labels"]
+    assert ends[0] == ends[1] and ends[0][1] > 1
+
+
 def test_communities_of_no_edges(spark):
     nodes = spark.createDataFrame([("a", "A", 1)], "canonical_id string, canonical_name string, source_entity_count int")
     members, summary = G.topic_communities(nodes, spark.createDataFrame([], EDGES), 20)
